@@ -1,7 +1,7 @@
 """All queries of this subpackage and their oracles."""
 
-from . import chat, decontaminate, packing, sharding, topk
+from . import chat, decontaminate, lines, packing, quality, sharding, topk
 
-_MODULES = [packing, chat, topk, sharding, decontaminate]
+_MODULES = [lines, quality, packing, chat, topk, sharding, decontaminate]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
