@@ -115,28 +115,42 @@ def complete(hist: dict[int, int], capacity: int, nodes: int = NODES) -> Plan:
     total = sum(n * c for n, c in hist.items())
     if _bins(incumbent) <= least:
         return incumbent
-    stack = [(dict(hist), [], 0, 0)]  # left, plan, bins, waste
-    while stack and nodes:
-        nodes -= 1
-        left, plan, bins, waste = stack.pop()
-        if not left:
-            if bins < _bins(incumbent):
-                incumbent = plan
-                if bins <= least:
-                    break
-            continue
-        if -(-(total + waste) // capacity) >= _bins(incumbent):
-            continue  # its waste alone rules it out
+    left, path = dict(hist), []  # one state, changed and restored along the path; only untried fillings are kept a level
+    bins = waste = 0
+
+    def children() -> Iterator[Counter]:
         largest = max(left)
         rest = dict(left)
         _take(Counter([largest]), 1, rest)
-        for filling in reversed(fillings(rest, capacity - largest)):  # the least waste is visited first
-            pattern = filling + Counter([largest])
-            times = _times(pattern, left)
-            then = dict(left)
-            _take(pattern, times, then)
-            wasted = times * (capacity - sum(n * c for n, c in pattern.items()))
-            stack.append((then, [*plan, (tuple(sorted(pattern.items(), reverse=True)), times)], bins + times, waste + wasted))
+        return iter([filling + Counter([largest]) for filling in fillings(rest, capacity - largest)])  # the least waste is visited first
+
+    levels = [children()]
+    while levels and nodes:
+        pattern = next(levels[-1], None)
+        if pattern is None:
+            levels.pop()
+            if path:  # restore what led here
+                pattern, times, wasted = path.pop()
+                bins, waste = bins - times, waste - wasted
+                for n, c in pattern.items():
+                    left[n] = left.get(n, 0) + c * times
+            continue
+        nodes -= 1
+        times = _times(pattern, left)
+        wasted = times * (capacity - sum(n * c for n, c in pattern.items()))
+        if -(-(total + waste + wasted) // capacity) >= _bins(incumbent):
+            continue  # its waste alone rules it out
+        _take(pattern, times, left)
+        path.append((pattern, times, wasted))
+        bins, waste = bins + times, waste + wasted
+        if left:
+            levels.append(children())
+            continue
+        if bins < _bins(incumbent):
+            incumbent = [(tuple(sorted(x.items(), reverse=True)), t) for x, t, _ in path]
+            if bins <= least:
+                break
+        levels.append(iter(()))  # a full plan has no children; the next step takes it back
     return incumbent
 
 
