@@ -4,15 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import decontaminate
+from rivulet.llm import decontaminate, lines, neardup, packing, quality
 from rivulet.llm.common import table, written
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the threshold go; the ranker learns from the labels of documents that are there."""
+    return quality.keep_good(spark, docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring lines stay in their first document alone; documents with nothing else go."""
+    return lines.drop_recurring_lines(spark, docs)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: shingles of five words, similarity 0.8 or more."""
+    return neardup.keep_one(spark, docs, width=5, percent=80)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which one word in twenty or more lies in a benchmark passage go."""
     return decontaminate.drop_contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("benchmark decontamination", benchmark_decontamination)]
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of at most 2048."""
+    return packing.pack_documents(spark, docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
+#: The classifier is learned, the tree's similarity joins and the tokenizer aren't SQL: tests run the stages against brute force.
 ORACLE_SQL = None
 
 
