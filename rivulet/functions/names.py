@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Width of a truncated name column, words without identity, and committee type tags.
 TRUNCATED = 40
@@ -66,7 +67,7 @@ def normalize_name(raw: Column) -> Column:
     return _normal_from(fold(split_type_tag(raw)[0]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_tail(s: pd.Series) -> pd.Series:
     """Upper case and full compatibility decomposition without combining marks."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x.upper()) if not 0x300 <= ord(c) <= 0x36F))

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .names import looks_like_person, strip
 
@@ -79,16 +80,20 @@ def _safe(code: int) -> str:
     return " " if code < 32 or code > 0x10FFFF or 0xD800 <= code <= 0xDFFF else chr(code)
 
 
+_MARKUP = re.compile(r"(<br\s*/?>)|<[^>]+>", re.I)
+_NUMBER = re.compile(r"&#(?:x([0-9a-f]+)|(\d+));", re.I)
+_NAME = re.compile(r"&([a-z]+);", re.I)
+
+
 def decode_cell(x: str) -> str:
-    """Text of a piece of markup; &amp; comes last, so double escapes resolve in order."""
-    x = re.sub(r"<[^>]+>", "", re.sub(r"(?i)<br\s*/?>", " ", x))
-    x = re.sub(r"(?i)&#x([0-9a-f]+);", lambda m: _safe(int(m[1], 16)), x)
-    x = re.sub(r"&#(\d+);", lambda m: _safe(int(m[1])), x)
-    x = re.sub(r"(?i)&([a-z]+);", lambda m: _NAMED.get(m[1].lower(), m[0]), x)
-    return re.sub(r"\s+", " ", x.replace("&amp;", "&")).strip()
+    """Text of a piece of markup: tags go, breaks become blanks, numbers and then names are decoded, once each."""
+    x = _MARKUP.sub(lambda m: " " if m[1] else "", x)
+    x = _NUMBER.sub(lambda m: _safe(int(m[1], 16) if m[1] else int(m[2])), x)
+    x = _NAME.sub(lambda m: "&" if m[1] == "amp" else _NAMED.get(m[1].lower(), m[0]), x)
+    return " ".join(x.split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_markup(s: pd.Series) -> pd.Series:
     """``decode_cell`` for any entity; ``decode_plain`` serves text without numeric ones."""
     return s.map(lambda x: None if x is None else decode_cell(x))
