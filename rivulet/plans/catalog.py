@@ -712,3 +712,85 @@ def office_asof(spark, sf):
     e = T.read(spark, sf, "events").withColumn("mark", F.col("event_type") == "signup")
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     return e.withColumn("heading", F.last(F.when(F.col("mark"), F.col("event_id")), ignorenulls=True).over(w)).filter(~F.col("mark")).select("event_id", "heading")
+
+
+# --- codes, kinds, labels, and resolution -----------------------------------------------------------------------------
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'I' THEN 'individual' WHEN 'B' THEN 'business' WHEN 'C' THEN 'committee' WHEN 'P' THEN 'party' WHEN 'O' THEN 'other' WHEN 'S' THEN 'self' ELSE 'unknown' END AS from_flag,
+ CASE l_linestatus WHEN 'O' THEN 'other' ELSE 'unknown' END AS from_status, CASE WHEN l_linestatus = 'E' THEN 'expenditure' ELSE 'contribution' END AS flow FROM lineitem""")
+def code_maps(spark, sf):
+    c = T.read(spark, sf, "lineitem")
+    return c.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", X.contributor_kind(F.col("l_returnflag")).alias("from_flag"), X.contributor_kind(F.col("l_linestatus")).alias("from_status"), X.direction(F.col("l_linestatus")).alias("flow"))
+
+
+@query(f"""WITH n AS (SELECT p_partkey, {_PERSON} AS name, CASE p_size % 5 WHEN 0 THEN 'Retired' WHEN 1 THEN 'self-employed' WHEN 2 THEN NULL ELSE p_type END AS job, CASE p_size % 6 WHEN 0 THEN 'business' WHEN 1 THEN 'self' WHEN 2 THEN 'other' END AS hint FROM part)
+ SELECT p_partkey, CASE hint WHEN 'business' THEN 'organization' WHEN 'self' THEN 'individual' END AS hinted,
+ CASE WHEN {_IS_PERSON} OR coalesce(regexp_matches(job, '(?i)\\b(RETIRED|HOMEMAKER|ATTORNEY|PHYSICIAN|SELF[- ]EMPLOYED)\\b'), false) THEN 'individual' ELSE 'organization' END AS classified FROM n""")
+def entity_kinds(spark, sf):
+    p = T.read(spark, sf, "part")
+    end = F.when(F.col("p_size") % 3 == 0, " Jr.").when(F.col("p_size") % 3 == 1, " LLC").otherwise("")
+    name = F.concat("p_type", F.when(F.col("p_size") % 2 == 0, ", ").otherwise(" "), "p_name", end)
+    m5, m6 = F.col("p_size") % 5, F.col("p_size") % 6
+    job = F.when(m5 == 0, "Retired").when(m5 == 1, "self-employed").when(m5 == 2, F.lit(None)).otherwise(F.col("p_type"))
+    hint = F.when(m6 == 0, "business").when(m6 == 1, "self").when(m6 == 2, "other")
+    return p.select("p_partkey", X.kind_from_hint(hint).alias("hinted"), X.classify_contributor(name, job).alias("classified"))
+
+
+@query("""SELECT c_custkey, concat(CASE WHEN c_acctbal < 0 AND r <> 0 THEN '-' ELSE '' END, '$', format('{:,}', r)) AS full_money
+ FROM (SELECT c_custkey, c_acctbal, CAST(round(CAST(abs(c_acctbal) AS DECIMAL(16,2)), 0) AS BIGINT) AS r FROM customer)""")
+def money_full(spark, sf):
+    return T.read(spark, sf, "customer").select("c_custkey", X.format_money_full(F.col("c_acctbal").cast("decimal(16,2)")).alias("full_money"))
+
+
+@query("SELECT o_orderkey, concat_ws(' · ', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), nullif(o_orderstatus, ''), nullif(o_orderpriority, '')) AS subtitle, nullif(concat_ws(' ', nullif(o_orderstatus, ''), nullif(o_orderpriority, '')), '') AS address FROM orders")
+def txn_subtitle(spark, sf):
+    o = T.read(spark, sf, "orders")
+    return o.select("o_orderkey", X.transaction_subtitle(F.col("o_orderdate").cast("date"), F.col("o_orderstatus"), F.col("o_orderpriority"), F.lit("")).alias("subtitle"), X.join_address(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("address"))
+
+
+@query(BASE + " SELECT DISTINCT id FROM (SELECT from_id AS id FROM flow WHERE day >= DATE '2000-01-01' UNION ALL SELECT to_id FROM flow WHERE day >= DATE '2000-01-01')")
+def touched_ids(spark, sf):
+    return T.flows(spark, sf).filter("day >= DATE '2000-01-01'").select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+
+
+@query("""WITH old AS (SELECT s_suppkey AS k, s_name AS v FROM supplier), new AS (SELECT l_suppkey AS k, max(l_returnflag) AS v FROM lineitem WHERE l_quantity >= 50 GROUP BY ALL)
+ SELECT k, v FROM old WHERE k NOT IN (SELECT k FROM new) UNION ALL SELECT k, v FROM new""")
+def upsert_rows(spark, sf):
+    old = T.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
+    new = T.read(spark, sf, "lineitem").filter("l_quantity >= 50").groupBy(F.col("l_suppkey").alias("k")).agg(F.max("l_returnflag").alias("v"))
+    return D.upsert(old, new, ["k"])
+
+
+@query(_txns_sql(f"from_id = '{_SEED}'"))
+def ledger_txns_out(spark, sf):
+    rows, sources = _txn_rows(spark, sf)
+    out = L.transactions(rows, sources, _SEED, LedgerParams(view="transactions", direction="out"))
+    return out.select("id", "counterparty_id", "counterparty_name", *text("amount", "txn_date"), "flow", "txn_type_code", "description", "city", "source_key")
+
+
+@query(_txns_sql(f"to_id = '{_SEED}' OR from_id = '{_SEED}'") + " WHERE contains(upper(counterparty_name), '0001') ORDER BY CAST(amount AS DECIMAL(16,2)) DESC, id LIMIT 25")
+def ledger_txns_page(spark, sf):
+    rows, sources = _txn_rows(spark, sf)
+    p = LedgerParams(view="transactions", direction="all", q="0001", sort="count", limit=25)
+    return L.page(L.transactions(rows, sources, _SEED, p), p).select("id", "counterparty_id", "counterparty_name", *text("amount", "txn_date"), "flow", "txn_type_code", "description", "city", "source_key")
+
+
+@query("SELECT event_id, event_type = 'error' OR (contains(props, 'Error in /cgi-bin/') OR (regexp_matches(props, '(?i)internal server error') AND length(props) < 4000)) AS bad FROM events")
+def error_pages(spark, sf):
+    return T.read(spark, sf, "events").select("event_id", ((F.col("event_type") == "error") | X.is_error_page(F.col("props"))).alias("bad"))
+
+
+@query()
+def resolve_batch(spark, sf):
+    """All part labels against the catalogued names: exact, alias, prefix, similarity, or a new entity. Tests hold it against a sequential resolver."""
+    from ..operators.resolve import resolve_batch as run
+
+    p = T.read(spark, sf, "part")
+    full = F.col("p_name")
+    entities = p.groupBy(full.alias("name")).agg(F.min("p_partkey").cast("string").alias("id")).select(F.concat(F.lit("P"), "id").alias("id"), "name", N.normalize_name(F.col("name")).alias("normalized_name"), F.lit(None).cast("string").alias("zip"), F.lit(None).cast("string").alias("city"))
+    aliases = entities.select(F.col("id").alias("entity_id"), F.concat(F.lit("THE "), "normalized_name").alias("normalized_alias"), F.lit(0.9).alias("confidence"))
+    none = F.lit(None).cast("string")
+    mentions = p.groupBy(F.concat(full, F.when(F.col("p_size") % 3 == 0, " Inc.").when(F.col("p_size") % 3 == 1, " PAC").otherwise("")).alias("raw")).agg(F.min("p_partkey").alias("place"))
+    mentions = mentions.select("place", "raw", F.lit(True).alias("recipient"), none.alias("hint"), none.alias("zip"), none.alias("city"), none.alias("occupation"))
+    resolved, _, _ = run(mentions, entities, aliases)
+    return resolved.select("place", "n", "entity_id", F.round("confidence", 9).alias("confidence"), "method")
