@@ -311,7 +311,7 @@ _CRAWLS = {"d2": ("both", "is_direct_link", 25, 600, "direct"), "capped": ("both
 
 def _crawl(spark, sf, name):
     direction, _, k, cap, mode = _CRAWLS[name]
-    entities, edges, _ = T.graph(spark, sf)
+    entities, edges = T.stored_graph(spark, sf)
     return G.crawl_all(spark, entities, edges, CrawlParams(_SEED, 2, direction, mode, max_per_node=k, max_nodes=cap))
 
 

@@ -13,6 +13,7 @@ from ..functions.names import normalize_name
 from ..functions.text import directed_ends, row_hash
 from ..operators.load import promote, rollup_edges, with_totals
 from ..schemas import COMMITTEE_TYPES
+from .store import cut
 
 MONEY = "decimal(16,2)"
 
@@ -65,6 +66,14 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return with_totals(promoted, edges), edges, txns
 
 
+def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and edges stored once, edges in order of their target, as a crawl reads them level after level."""
+    txns = flows(spark, sf_dir)
+    promoted = promote(parties(spark, sf_dir), txns)
+    edges = cut(rollup_edges(txns, promoted.filter("is_traversable").select("id")).sortWithinPartitions("to_id"))
+    return cut(with_totals(promoted, edges)), edges
+
+
 def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows between the parties' nations, self-loops among them."""
     txns, who = flows(spark, sf_dir), parties(spark, sf_dir).select("id", "city")
