@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.store import shared_folder
+
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 #: Lower-cases A-Z and nothing else; UTF-8 continuation bytes are untouched.
 FOLD = bytes.maketrans(UPPER, UPPER.lower())
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests, one machine) it is a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not hasattr(shared_folder, "own"):
-            shared_folder.own = tempfile.mkdtemp(prefix="rivulet-")
-        base = f"file://{shared_folder.own}"
-    return base.rstrip("/")
-
-
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it again.
 
