@@ -141,6 +141,17 @@ def test_near_duplicates(spark, docs, none, width):
     assert sum(1 for _, t in have if not (t or "").encode().split()) == sum(1 for r in got if not r["n"])
 
 
+def test_keep_one_of_each_component(spark):
+    """Unrelated texts without an id all stay, and so do unlike texts of one id; copies go, whatever their id."""
+    texts = [" ".join(f"{a}{i}" for i in range(20)) for a in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[4]), (None, texts[5]), (8, texts[5]), (8, texts[5] + " more")]
+    kept = neardup.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4])]
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert {k: n for k, n in got.items() if k[0] != 8} == dict.fromkeys(want, 1)
+    assert [n for k, n in got.items() if k[0] == 8] == [1]
+
+
 def test_near_duplicates_in_chains(spark):
     """Each is like the next but the ends are not alike; one large group of copies besides."""
     base = [f"w{i}" for i in range(100)]
