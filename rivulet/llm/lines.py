@@ -1,23 +1,27 @@
 """Line dedup by a log-template tree.
 
 A line goes down a tree of fixed depth: its number of tokens, then its leading tokens, with variable fields (tokens that hold
-a digit) as ``<*>``. In the leaf the rest of the line is cut into stretches, and each leaf entry is a template that leaves one
-stretch variable: lines that agree in all other stretches, four fifths of the rest, are of one template. So is a line with its
-equals. A template that occurs in several documents is recurring: its lines stay in the document with the smallest doc_id and
-are dropped from all others.
-
-Templates are keys, so they are found by aggregation of distinct lines alone: neither a common line nor a common beginning is
-gathered in one task.
+a digit) as ``<*>``. In the leaf it is compared in place, token by token, with the lines of earlier documents that stay: it
+joins one's template if ``AGREE`` percent of the tokens agree, or if all tokens that don't lie in one of ``STRETCHES`` fixed
+stretches of the rest. A line that joins is dropped; one that doesn't stays in the document with the smallest doc_id, and is
+dropped from all others. So each line that goes has a line like it that stays.
+
+Leaves in which several documents meet are few, so a first pass finds them by aggregation of keys alone, and only their
+lines are fetched. A leaf of many lines isn't gathered: its earliest lines are settled, the others meet those that stay, dealt
+out to many tasks, and so on with what is left. A common line is one of its leaf however often it occurs.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, text_bytes, written
@@ -25,6 +29,10 @@ from .common import table, text_bytes, written
 FIELD = b"<*>"
 #: Leading tokens that choose the leaf; stretches that the rest is cut into; lines of fewer tokens match only as they are.
 LEADING, STRETCHES, SHORTEST = 3, 5, 8
+#: Percent of the tokens that agree with the template.
+AGREE = 80
+#: Tokens of a leaf that are compared in one task.
+CELLS = 1 << 21
 #: Stands for a null doc_id, so that those rows count as one document.
 NO_ID = -(2**63)
 _DIGIT = re.compile(rb"[0-9]")
@@ -44,19 +52,51 @@ def line_key(tokens: list[bytes]) -> int:
     return _hash(b" ".join(tokens))
 
 
+def leaf_key(tokens: list[bytes]) -> int | None:
+    # The number is hashed with the text: as a seed it can cancel out in short texts.
+    return _hash(b"%d " % len(tokens) + b" ".join(tokens[:LEADING])) if len(tokens) >= SHORTEST else None
+
+
+def _cuts(n: int) -> list[int]:
+    return [LEADING + (n - LEADING) * j // STRETCHES for j in range(STRETCHES + 1)]
+
+
 def template_keys(tokens: list[bytes]) -> list[int]:
-    """One key for each stretch left variable; none for short lines."""
+    """One key for each stretch left variable; none for short lines. Lines that share one are alike."""
     n = len(tokens)
     if n < SHORTEST:
         return []
-    rest = n - LEADING
-    cuts = [LEADING + rest * j // STRETCHES for j in range(STRETCHES + 1)]
+    cuts = _cuts(n)
     return [_hash(b" ".join(tokens[: cuts[j]]) + b"\n" + b" ".join(tokens[cuts[j + 1] :]), n * STRETCHES + j) for j in range(STRETCHES)]
 
 
-def _lines(docs: DataFrame, doc: str, text: str, keys: bool) -> DataFrame:
-    """doc and h of each line that isn't blank, and the template keys if asked."""
-    names = ["doc", "h", *(f"k{j}" for j in range(STRETCHES if keys else 0))]
+def _numbered(lines: list[bytes], number: dict[bytes, int]) -> np.ndarray:
+    """The lines of one leaf as rows of word numbers."""
+    return np.array([[number.setdefault(t, len(number)) for t in x.split(b" ")] for x in lines], np.int32)
+
+
+def alike(line: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether the line and each of the others, all of one leaf, are of one template."""
+    n = len(line)
+    same_leaf = (others[:, :LEADING] == line[:LEADING]).all(1)  # false if leaf keys collide
+    differs = (others != line)[:, LEADING:]
+    return same_leaf & ((100 * differs.sum(1) <= (100 - AGREE) * n) | (np.logical_or.reduceat(differs, np.array(_cuts(n)[:-1]) - LEADING, axis=1).sum(1) <= 1))
+
+
+def settle(first: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Where each line of a leaf stays, if they come in order of ``first``: there, or else in the document of an earlier one that stays."""
+    keep, left = first.copy(), np.arange(len(first))
+    while len(left):
+        stays, left = left[0], left[1:]
+        joins = (first[left] > first[stays]) & alike(lines[stays], lines[left])
+        keep[left[joins]] = first[stays]
+        left = left[~joins]
+    return keep
+
+
+def _lines(docs: DataFrame, doc: str, text: str, leaves: bool) -> DataFrame:
+    """doc and h of each line that isn't blank, and its number of tokens and leaf if asked."""
+    names = ["doc", "h", *(["n", "leaf"] if leaves else [])]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,25 +106,136 @@ def _lines(docs: DataFrame, doc: str, text: str, keys: bool) -> DataFrame:
                     if t := tokens_of(line):
                         rows[0].append(d)
                         rows[1].append(line_key(t))
-                        if keys:
-                            for c, k in zip(rows[2:], template_keys(t) or [None] * STRETCHES, strict=True):
-                                c.append(k)
+                        if leaves:
+                            rows[2].append(len(t))
+                            rows[3].append(leaf_key(t))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=names)
 
     source = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
     return source.mapInArrow(split, ", ".join(f"{n} long" for n in names))
 
 
-def recurring_lines(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Lines of templates that occur in several documents: ``h`` (key of the line) and ``keep_doc``, where they stay."""
-    ks = [f"k{j}" for j in range(STRETCHES)]
-    distinct = _lines(docs, doc, text, True).groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), *[F.max(k).alias(k) for k in ks])
+def _fetched(spark: SparkSession, docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (h, leaf and others) with ``line``, the masked tokens. Other lines are sorted out by a bitmap of leaves first."""
+    leaves = wanted.select("leaf").distinct()
+    bits, slices = min(27, max(16, (16 * leaves.count()).bit_length())), 16
+    low = bits - 4
+
+    def mark(t: pa.Table) -> pa.Table:
+        places = np.zeros(1 << low, bool)
+        places[t["place"].to_numpy() & ((1 << low) - 1)] = True
+        return pa.table({"part": t["part"][:1], "places": [np.packbits(places, bitorder="little").tobytes()]})
+
+    placed = leaves.select(F.shiftrightunsigned("leaf", 64 - bits).alias("place")).withColumn("part", F.shiftright("place", low))
+    parts = {r["part"]: r["places"] for r in placed.groupBy("part").applyInArrow(mark, "part long, places binary").collect()}  # 16 MB at most
+    bitmap = spark.sparkContext.broadcast(b"".join(bytes(parts.get(i) or bytes(1 << low - 3)) for i in range(slices)))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, shift = bitmap.value, 64 - bits
+        for b in batches:
+            rows: dict[int, bytes] = {}
+            for x in text_bytes(b.column("text")):
+                for line in x.split(b"\n"):
+                    t = tokens_of(line)
+                    if len(t) >= SHORTEST:
+                        place = (leaf_key(t) & 2**64 - 1) >> shift
+                        if known[place >> 3] >> (place & 7) & 1:
+                            rows[line_key(t)] = b" ".join(t)
+            yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.int64()), pa.array(rows.values(), pa.binary())], names=["h", "line"])
+
+    lines = docs.select(F.col(text).alias("text")).mapInArrow(pick, "h long, line binary")
+    return wanted.join(lines.join(wanted.select("h"), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "h")
+
+
+def _packed(rows: Iterable[tuple], names: tuple[str, ...], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
+
+LEAF_LINE = ("h", "leaf", "n", "first", "line")
+_TYPES = [pa.int64()] * 4 + [pa.binary()]
+_KIND = "h long, leaf long, n long, first long, line binary"
+
+
+def _rows(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(b.column(c).to_pylist() for c in names), strict=True)
+
+
+def _settled(lines: DataFrame) -> DataFrame:
+    """Lines of whole leaves with ``keep_doc``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for _, group in groupby(_rows(batches, LEAF_LINE), itemgetter(1, 2)):
+                group = list(group)
+                keep = settle(np.array([x[3] for x in group], np.int64), _numbered([x[4] for x in group], {}))
+                yield from ((*x, k) for x, k in zip(group, keep.tolist(), strict=True))
+
+        return _packed(rows(), (*LEAF_LINE, "keep_doc"), [*_TYPES, pa.int64()])
+
+    return lines.select(*LEAF_LINE).repartition("leaf").sortWithinPartitions("leaf", "n", "first", "h").mapInArrow(run, f"{_KIND}, keep_doc long")
+
+
+def _met(lines: DataFrame, stays: DataFrame, sizes: DataFrame, cells: int) -> DataFrame:
+    """Lines with ``keep_doc`` of the earliest line of ``stays`` that each joins, or null. A leaf's lines are dealt out, each part with all that stays."""
+    parts = sizes.select("leaf", F.ceil(F.col("cells") / cells).cast("int").alias("parts"))
+    members = lines.join(parts, "leaf").select(*LEAF_LINE, F.pmod(F.xxhash64("h"), "parts").cast("int").alias("part"), F.lit(1).alias("late"))
+    copies = stays.join(parts, "leaf").select(*LEAF_LINE, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("late"))
+    names = (*LEAF_LINE, "part", "late")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for _, group in groupby(_rows(batches, names), itemgetter(1, 5, 2)):
+                number: dict[bytes, int] = {}
+                early, first, kept = [], None, None
+                for x in group:
+                    if not x[6]:
+                        early.append(x)
+                        continue
+                    if first is None:
+                        first, kept = np.array([y[3] for y in early], np.int64), _numbered([y[4] for y in early], number)
+                    hit = np.flatnonzero((first < x[3]) & alike(_numbered([x[4]], number)[0], kept))
+                    yield (*x[:5], int(first[hit[0]]) if len(hit) else None)
+
+        return _packed(rows(), (*LEAF_LINE, "keep_doc"), [*_TYPES, pa.int64()])
+
+    both = copies.unionByName(members).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "n", "late", "first", "h")
+    return both.mapInArrow(run, f"{_KIND}, keep_doc long")
+
+
+def recurring_lines(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str = "text", cells: int = CELLS) -> DataFrame:
+    """Lines that occur in several documents or join a template of an earlier one: ``h`` (key of the line) and ``keep_doc``, where the line or its template stays."""
+    distinct = _lines(docs, doc, text, True).groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.first("n").alias("n"), F.first("leaf").alias("leaf"))
     known = written(spark, distinct, "lines")
-    entries = known.select("h", "first", "last", F.explode(F.array(*ks)).alias("k")).filter("k IS NOT NULL")
-    templates = entries.groupBy("k").agg(F.min("first").alias("keep_doc"), F.max("last").alias("_last")).filter("keep_doc <> _last").drop("_last")
-    alike = entries.select("h", "k").join(templates, "k").select("h", "keep_doc")
     equal = known.filter("first <> last").select("h", F.col("first").alias("keep_doc"))
-    return alike.unionByName(equal).groupBy("h").agg(F.min("keep_doc").alias("keep_doc"))
+    busy = known.filter("leaf IS NOT NULL").groupBy("leaf").agg(F.min("first").alias("_a"), F.max("first").alias("_b")).filter("_a <> _b").select("leaf")
+    wanted = written(spark, known.join(busy, "leaf").select("h", "leaf", "n", "first"), "leaf-keys")
+    left = written(spark, _fetched(spark, docs, text, wanted).select(*LEAF_LINE), "leaf-lines")
+    joined: list[DataFrame] = []
+    while True:
+        sizes = left.groupBy("leaf").agg(F.sum("n").alias("cells")).filter(F.col("cells") > cells)
+        sizes = written(spark, sizes, "large-leaves")
+        if sizes.isEmpty():
+            break
+        # The earliest lines of a large leaf can be settled by themselves; the others meet those that stay.
+        large = left.join(sizes, "leaf").select(*LEAF_LINE)
+        place = F.row_number().over(Window.partitionBy("leaf", "n").orderBy("first", "h"))
+        heads = written(spark, large.select("leaf", "h", "first", "n").withColumn("_place", place).filter(F.col("_place") <= F.greatest(F.lit(1), F.floor(F.lit(cells) / 2 / F.col("n")))).select("h"), "leaf-heads")
+        head = written(spark, _settled(large.join(heads, "h", "left_semi")), "leaf-settled")
+        met = written(spark, _met(large.join(heads, "h", "left_anti"), head.filter("keep_doc = first"), sizes, cells), "leaf-met")
+        joined += [head.filter("keep_doc <> first"), met.filter("keep_doc IS NOT NULL")]
+        left = written(spark, left.join(sizes, "leaf", "left_anti").select(*LEAF_LINE).unionByName(met.filter("keep_doc IS NULL").select(*LEAF_LINE)), "leaf-lines")
+    out = equal
+    for x in [*joined, _settled(left).filter("keep_doc <> first")]:
+        out = out.unionByName(x.select("h", "keep_doc"))
+    return out.groupBy("h").agg(F.min("keep_doc").alias("keep_doc"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -190,6 +190,46 @@ def test_lines(spark, none):
     assert lines.dedup_lines(spark, none).isEmpty()
 
 
+def plain_lines(rows):
+    """The lines that are left of each document, by comparison with all that stay in earlier ones."""
+
+    def is_like(a, b):
+        same = len(a) == len(b) >= lines.SHORTEST and a[: lines.LEADING] == b[: lines.LEADING]
+        return a == b or (same and (100 * sum(x == y for x, y in zip(a, b, strict=True)) >= 80 * len(a) or bool(set(lines.template_keys(a)) & set(lines.template_keys(b)))))
+
+    stay, out = [], {}
+    for d, t in sorted(rows):
+        own = [(x, lines.tokens_of(x.encode())) for x in t.split("\n")]
+        left = [(x, k) for x, k in own if not any(is_like(k, y) for y in stay)]
+        stay += [k for _, k in left]
+        out[d] = "\n".join(x for x, _ in left)
+    return out
+
+
+@pytest.mark.parametrize("cells", [200, 1 << 21])
+def test_lines_agree_in_place(spark, cells, monkeypatch):
+    """Changes in several stretches, chains, leaves of many lines, lines of one document that are alike."""
+    r = random.Random(11)
+    base = [[f"b{'abcdefgh'[i]}" for _ in range(3)] + [r.choice("pqrstuvw") * (1 + j % 3) for j in range(n)] for i, n in enumerate((54, 7, 17, 17, 5))]
+    rows = []
+    for d in range(90):
+        own = []
+        for _ in range(r.randint(1, 4)):
+            t = list(r.choice(base))
+            for _ in range(r.choice([0, 1, 2, 3, 5, len(t) // 3])):
+                t[r.randrange(3, len(t))] = r.choice("xyz")
+            own.append(" ".join(t))
+        rows.append((d, "\n".join(own)))
+    far = base[0][:20] + ["other"] + base[0][21:45] + ["words"] + base[0][46:]  # 57 tokens, two stretches
+    rows += [(200, " ".join(far)), (300, "keep this line\n" + " ".join(far[:30] + ["third"] + far[31:]))]
+    chain = [f"chain of lines that go {'xyzw'[i]} {'x' * (i > 0)}y {'x' * (i > 1)}z now then" for i in range(4)]
+    rows += [(400 + i, x) for i, x in enumerate(chain)]
+    monkeypatch.setattr(lines.recurring_lines, "__defaults__", ("doc_id", "text", cells))
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_lines(rows)
+    assert got[200] == "" and got[300] == "keep this line"
+
+
 def test_template_keys():
     a = lines.tokens_of(b"one two three four five six seven eight nine ten")
     b = lines.tokens_of(b"one two three four five six seven eight other ten")
