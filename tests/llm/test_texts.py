@@ -230,6 +230,19 @@ def test_lines_agree_in_place(spark, cells, monkeypatch):
     assert got[200] == "" and got[300] == "keep this line"
 
 
+def test_lines_that_go_have_one_that_stays(spark):
+    """B goes because of A; C, like B alone, stays and takes D along."""
+    a = "the head of a line with ten more words in it all told".split()
+    b, c, d = list(a), list(a), list(a)
+    b[4:6] = c[4:6] = d[4:6] = ["x", "y"]
+    c[8:10] = d[8:10] = ["z", "w"]
+    d[12] = "v"
+    assert len({lines.leaf_key([x, b"b", b"c"] + [b"d"] * n) for x in (b"a", b"b") for n in range(5, 3000)}) == 2 * 2995
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((a, b, c, d), 1)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark, df).collect()}
+    assert got == {1: " ".join(a), 2: "", 3: " ".join(c), 4: ""}
+
+
 def test_template_keys():
     a = lines.tokens_of(b"one two three four five six seven eight nine ten")
     b = lines.tokens_of(b"one two three four five six seven eight other ten")
