@@ -275,6 +275,26 @@ def test_packing(spark, docs, none):
     assert sum(len(r["ids"]) for r in rows) == 4 * sum(r["length"] for r in got if r["doc_id"] == 15)
 
 
+def test_added_tokens(spark):
+    """The added token's string, whole, cut, repeated or made by an edit, against the library's defaults."""
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(tokens.default_tokenizer()), tokens.Encoder(tokens.default_tokenizer())
+    r, parts = random.Random(8), ["<|endoftext|>", "<|endof", "text|>", "<", "|>", "a", " ", "  ", "\n", " b", "é", "1", "'s"]
+    texts = ["a<|endoftext|>b", *("".join(r.choices(parts, k=r.randint(1, 12))) for _ in range(500))]
+    for t in texts:
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        tree = counting.TokenTree(t, encoder, leaf=r.choice([1, 3, 8]))
+        a = r.randint(0, len(t))
+        b, new = r.randint(a, len(t)), r.choice(parts)
+        tree.edit(a, b, new)
+        assert tree.count == len(library.encode(t[:a] + new + t[b:], add_special_tokens=False).ids)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t in enumerate(texts)}
+    assert {x["doc_id"]: bytes(x["ids"]) for x in packing.token_pieces(df).collect()} == want
+    assert {x["doc_id"]: 4 * x["n_tokens"] + 4 for x in counting.count_tokens(df).collect()} == {i: len(x) for i, x in want.items()}
+
+
 def check_packing(rows):
     by = defaultdict(list)
     for r in rows:
