@@ -76,7 +76,7 @@ def best_fit(hist: dict[int, int], capacity: int) -> Plan:
 
 
 def fillings(hist: dict[int, int], room: int, width: int = WIDTH, tries: int = 400) -> list[Counter]:
-    """Undominated ways to fill ``room``, least waste first.
+    """Undominated ways to fill ``room``, least waste first: of those found in ``tries`` steps, ``width`` at most.
 
     A filling is dominated if another item could be added, or one of its items exchanged for a larger one that is left and
     still fits: whatever can be done after it can be done after the other.
@@ -90,18 +90,20 @@ def fillings(hist: dict[int, int], room: int, width: int = WIDTH, tries: int = 4
         fits = False
         for at in range(start, len(sizes)):
             n = sizes[at]
-            if n > room or chosen.count(n) >= hist[n]:
+            if n > room:
                 continue
             fits = True
-            steps += 1
-            if steps > tries:
-                break
-            descend(at, room - n, [*chosen, n])
-            if found and found[-1][0] == 0 and sum(1 for x in found if x[0] == 0) >= width:
-                return
+            for c in range(min(hist[n], room // n), 0, -1):  # a run of equal items is one step
+                steps += 1
+                if steps > tries:
+                    return
+                descend(at + 1, room - c * n, [*chosen, *[n] * c])
+                if found and found[-1][0] == 0 and sum(1 for x in found if x[0] == 0) >= width:
+                    return
         if not fits:
             used = Counter(chosen)
-            if not any(m for n in used for m in sizes if n < m <= n + room and used[m] < hist[m]):
+            more = any(m <= room and used[m] < hist[m] for m in sizes)
+            if not more and not any(m for n in used for m in sizes if n < m <= n + room and used[m] < hist[m]):
                 found.append((room, tuple(chosen)))
 
     descend(0, room, [])

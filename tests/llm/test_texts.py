@@ -318,6 +318,12 @@ def test_bin_completion(seed):
     assert packing.complete({}, 2048) == []
 
 
+def test_fillings_of_many_tiny_items():
+    assert packing.fillings({1: 5000}, 1000) == [Counter({1: 1000})]
+    assert packing.fillings({1: 5000, 2: 1}, 548)[0] == Counter({2: 1, 1: 546})
+    assert packing.fillings({5: 2, 3: 2}, 9) == [Counter({5: 1, 3: 1})] and packing.fillings({9: 1}, 5) == [Counter()]
+
+
 def test_bin_completion_beats_best_fit():
     hist = Counter([6, 6, 5, 5, 5, 4, 4, 3, 2, 2])  # 42 in bins of 14: three suffice
     assert sum(t for _, t in packing.complete(hist, 14)) == 3
