@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.store import cut
+from ..plans.store import cut, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,10 +17,13 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("comp")))
     while True:
-        near = both.join(labels.withColumnsRenamed({"id": "b", "comp": "near"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
-        moved = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        near = both.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+        moved = labels.select("id", "comp").join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         roots = moved.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
         new = cut(moved.join(roots, "comp").select("id", "old", F.col("root").alias("comp")))
-        labels = new.drop("old")
-        if new.filter("old <> comp").isEmpty():
-            return labels
+        done = new.filter("old <> comp").isEmpty()
+        release(labels)
+        labels = new
+        if done:
+            release(both)
+            return new.drop("old")

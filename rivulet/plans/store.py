@@ -9,21 +9,46 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; only where the session names none (tests, one machine) a temporary one."""
+    """The folder all executors share; only on one machine may the session name none, and a temporary one is made."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not hasattr(shared_folder, "own"):
             shared_folder.own = tempfile.mkdtemp(prefix="rivulet-")
         base = f"file://{shared_folder.own}"
     return base.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def work_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/rivulet/{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """The same rows, stored in the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rivulet/{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(*stored: DataFrame) -> None:
+    """Deletes tables that ``cut`` has stored, once nothing will read them again."""
+    for df in stored:
+        _delete(df.sparkSession, df.stored_at)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Deletes all that this application has stored between steps; results read from it must be written elsewhere by then."""
+    _delete(spark, work_folder(spark))
 
 
 class Store:
