@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.store import shared_folder
+from ..plans.store import cut
 
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 #: Lower-cases A-Z and nothing else; UTF-8 continuation bytes are untouched.
@@ -16,20 +16,17 @@ FOLD = bytes.maketrans(UPPER, UPPER.lower())
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet into the shared folder and reads it again.
+    """Cuts lineage: writes df as Parquet into the shared folder and reads it again; ``release`` deletes it.
 
     Every reader sees the same rows, also after an executor was lost, and nothing upstream runs twice.
     """
-    path = f"{shared_folder(spark)}/rivulet/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, name)
 
 
-def forget(spark: SparkSession) -> None:
-    """Deletes all tables that ``written`` has left in the shared folder; results read from them must be stored by then."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/rivulet")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for k in count() if (x := n + "_" * k).lower() not in taken) for n in names]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
