@@ -408,3 +408,51 @@ def test_suffix_tree_is_a_distribution(spark):
     # P(end | ...) differs with the word before it, so compare with the document that ends there: sum of P(w) P(end | w) + P(end)
     assert sum(10 ** got[d] for d in probe[:13]) < 10 ** (max(got.values()) + 6)
     assert all(s <= 0 for s in got.values())
+
+
+@pytest.mark.parametrize("tile", [8, 512])
+def test_near_duplicates_of_middling_similarity(spark, tile, monkeypatch):
+    """Many texts that share a base and are hardly like one another: links among them are found, and rows made don't grow with pairs."""
+    r = random.Random(17)
+    base = [f"w{i}" for i in range(120)]
+
+    def text(changes):
+        return " ".join("x%d" % r.randrange(10**6) if i in changes else w for i, w in enumerate(base))
+
+    rows = [(i, text(set(r.sample(range(120), r.choice([2, 3, 4, 5, 6])))) ) for i in range(160)]
+    rows += [(None, t) for _, t in rows[:40]] + [(200 + i, rows[i][1] + " end") for i in range(0, 40, 7)]
+    made = []
+
+    def seen(*a, **b):
+        out = across(*a, **b)
+        made.append(out.count())
+        return out
+
+    across = neardup._across
+    monkeypatch.setattr(neardup, "_across", seen)
+    monkeypatch.setattr(neardup._grouped, "__defaults__", (tile,))
+    got = neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=4).collect()
+    assert Counter((x["doc"], x["n"], x["component"]) for x in got) == brute_components(rows, 4, 80)
+    assert made and made[0] < 200
+
+
+def test_tiles_against_brute_force():
+    r = np.random.default_rng(5)
+    base = np.unique(r.integers(0, 2**63, 200, np.uint64))
+    sets = [np.unique(np.concatenate([r.choice(base, 180, False), r.integers(0, 2**63, r.integers(0, 30), np.uint64)])) for _ in range(90)]
+    tile = lambda rows: {"comp": list(rows), "n": [len(sets[i]) for i in rows], "sig": [neardup.signature(sets[i]) for i in rows], "items": [sets[i].astype("<u8").tobytes() for i in rows]}
+    for one, two in ((range(90), range(90)), (range(40), range(40, 90))):
+        got = neardup.compare_tiles(tile(one), tile(two), 80, one == two)
+        want = [(a, b) for a in one for b in two if a < b and neardup.similar(sets[a], sets[b], 80)]
+        assert want and set(got) <= set(want)
+
+        def groups(links):
+            root = {i: i for i in range(90)}
+            for a, b in links:
+                i, j = root[a], root[b]
+                root = {k: min(i, j) if v in (i, j) else v for k, v in root.items()}
+            return root
+
+        assert groups(got) == groups(want) and len(got) < 90
+    counts = neardup._shared_counts(sets[:5], sets[5:9])
+    assert (counts == [[len(np.intersect1d(a, b)) for b in sets[5:9]] for a in sets[:5]]).all()
