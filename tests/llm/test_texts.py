@@ -456,3 +456,77 @@ def test_tiles_against_brute_force():
         assert groups(got) == groups(want) and len(got) < 90
     counts = neardup._shared_counts(sets[:5], sets[5:9])
     assert (counts == [[len(np.intersect1d(a, b)) for b in sets[5:9]] for a in sets[:5]]).all()
+
+
+def plain_scores(rows, limit):
+    """Scores by a suffix tree of dictionaries. Contexts of ``limit`` occurrences or more take their part in the test as they do when split."""
+    d, start, nothing = suffix.DISCOUNT, "START", "NOTHING"
+    name = {start: suffix.START, nothing: suffix.NOTHING}
+    number = lambda w: name[w] if w in name else np.uint64(suffix.xxhash.xxh3_64_intdigest(w))
+    texts = [(doc, (t or "").encode().translate(suffix.FOLD).split() + [b""]) for doc, t in rows]
+    train = [ws for doc, ws in texts if not suffix.is_held_out(doc)]
+    count = Counter(w for ws in train for w in ws)
+    tokens = sum(count.values())
+    base = lambda w: (count[w] + 0.5) / (tokens + 0.5 * (len(count) + 1))
+    walk = lambda ws: zip([nothing, start, *ws], [start, *ws], ws, strict=False)
+    one, two = defaultdict(Counter), defaultdict(Counter)
+    for ws in train:
+        for u, h, w in walk(ws):
+            one[h][w] += 1
+            two[u, h][w] += 1
+    most = max(limit, tokens >> 12)
+    total = lambda c: sum(c.values())
+    slices = {h: 1 << (total(c) // most).bit_length() for h, c in one.items() if total(c) >= most}
+
+    def gain(c, parent):
+        size, once = total(c), sum(n == 1 for n in c.values())
+        if size < 2:
+            return 0
+        again = sum(n * np.log((n - 1 - d) / parent(w)) for w, n in c.items() if n > 1)
+        return again - (size - once) * np.log(size - 1) + (once * np.log(d * (len(c) - 1) / (size - 1)) if once else 0)
+
+    def parent_in(c):
+        kept = gain(c, base) > suffix.DIVERGENCE
+        loo = lambda w: (max(c[w] - 1 - d, 0) + d * (len(c) - (c[w] == 1)) * base(w)) / max(total(c) - 1, 1)
+        return lambda w: loo(w) if kept and loo(w) > 0 else base(w)
+
+    def parent_of(u, h):
+        c = one[h]
+        if h not in slices:
+            return parent_in(c)
+        if total(two[u, h]) >= most:
+            return lambda w: (c[w] - 1 - d) / (total(c) - 1) if c[w] > 1 else base(w)
+        place = lambda x: int(suffix._slice(np.array([number(x)]), np.array([slices[h]]))[0])
+        return parent_in(sum((x for (v, g), x in two.items() if g == h and total(x) < most and place(v) == place(u)), Counter()))
+
+    kept1 = {h for h, c in one.items() if gain(c, base) > suffix.DIVERGENCE}
+    kept2 = {k for k, c in two.items() if gain(c, parent_of(*k)) > suffix.DIVERGENCE}
+    out = []
+    for doc, ws in texts:
+        score = 0
+        for u, h, w in walk(ws):
+            p = base(w)
+            for kept, c, key in ((kept1, one, h), (kept2, two, (u, h))):
+                if key in kept:
+                    p = max(c[key][w] - d, 0) / total(c[key]) + d * len(c[key]) / total(c[key]) * p
+            score += np.log10(p)
+        out.append((-1 if doc is None else doc, len(ws), score))
+    return sorted(out), len(kept1), len(kept2), len(slices)
+
+
+@pytest.mark.parametrize(("limit", "share"), [(1 << 22, 1 << 23), (40, 3000)])
+def test_suffix_tree_against_a_plain_one(spark, limit, share):
+    r = random.Random(23)
+    start = {"the": ["cat", "dog", "end", "river"], "a": ["cat", "stone"]}
+    rows = [(None, "the cat"), (1, None), (2, ""), (3, "THE Cat sat"), (3, "THE Cat sat")]
+    for i in range(10, 170):
+        words = ["the"]
+        while len(words) < r.randint(2, 40):
+            words.append(r.choice(start.get(words[-1], ["the", "a", "of the", "in a", f"w{r.randrange(60)}", "the"])))
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+    want, one, two, hot = plain_scores(rows, limit)
+    assert one > 3 and two > 3 and (hot > 2) == (limit == 40)
+    got = sorted((-1 if x["doc"] is None else x["doc"], x["n_tokens"], x["score"]) for x in suffix.score_texts(spark, df, limit=limit, share=share).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert max(abs(x[2] - y[2]) / x[1] for x, y in zip(got, want, strict=True)) < 1e-4
