@@ -141,27 +141,41 @@ def word_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(jaccard(word_trigrams(a), word_trigrams(b)), F.lit(0.0))
 
 
+def _overlap(x: Column, y: Column) -> Column:
+    return F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.least(F.size(x), F.size(y)), F.lit(0)), F.lit(0.0))
+
+
 def token_overlap(a: Column, b: Column) -> Column:
     """Shared significant tokens over the smaller set; 0 if either is empty."""
-    x, y = significant_tokens(a), significant_tokens(b)
-    return F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.least(F.size(x), F.size(y)), F.lit(0)), F.lit(0.0))
+    return _overlap(significant_tokens(a), significant_tokens(b))
+
+
+def profile(raw: Column) -> Column:
+    """What matching needs of a name, to be computed once a name before pairs are formed: normal form, trigrams, tokens, key."""
+    n = normalize_name(raw)
+    return F.struct(n.alias("normal"), F.when(n != "", trigrams(n)).alias("grams"), significant_tokens(raw).alias("tokens"), blocking_key(raw).alias("key"))
 
 
 def score_match(a: Column, b: Column, truncated: Column | bool = False, zip_a: Column | None = None, zip_b: Column | None = None, city_a: Column | None = None, city_b: Column | None = None, strict_prefix: bool = False) -> Column:
+    """``score_profiles`` of two raw names; where a name is in many pairs, make its ``profile`` first."""
+    return score_profiles(profile(a), profile(b), truncated, zip_a, zip_b, city_a, city_b, strict_prefix)
+
+
+def score_profiles(a: Column, b: Column, truncated: Column | bool = False, zip_a: Column | None = None, zip_b: Column | None = None, city_a: Column | None = None, city_b: Column | None = None, strict_prefix: bool = False) -> Column:
     """struct(score, reasons): equal normal forms 1; a prefix of a truncated name .95; else trigrams and tokens, at least .80
     with equal blocking keys, raised by equal ZIP and city, .99 at most. ``strict_prefix``: only ``a`` may be the shorter."""
     none = F.lit(None).cast("string")
     zip_a, zip_b, city_a, city_b = (none if x is None else x for x in (zip_a, zip_b, city_a, city_b))
     truncated = F.lit(truncated) if isinstance(truncated, bool) else truncated
-    na, nb = normalize_name(a), normalize_name(b)
+    na, nb = a["normal"], b["normal"]
     short, long = F.when(F.length(na) <= F.length(nb), na).otherwise(nb), F.when(F.length(na) <= F.length(nb), nb).otherwise(na)
     cut = truncated & (F.length(short) >= SHORTEST_PREFIX) & F.startswith(long, short)
     if strict_prefix:
         cut = cut & (F.length(na) <= F.length(nb))
-    tri, over = string_similarity(na, nb), token_overlap(a, b)
+    tri = F.when(na == nb, 1.0).when((na == "") | (nb == ""), 0.0).otherwise(jaccard(a["grams"], b["grams"]))
+    over = _overlap(a["tokens"], b["tokens"])
     blended = F.lit(TRIGRAM_WEIGHT) * tri + F.lit(OVERLAP_WEIGHT) * over
-    ka, kb = blocking_key(a), blocking_key(b)
-    same_key = ka == kb
+    same_key = a["key"] == b["key"]
     base = F.when(same_key, F.greatest(blended, F.lit(BLOCK_SCORE))).otherwise(blended)
     za, zb = F.substring(zip_a, 1, 5), F.substring(zip_b, 1, 5)
     given = (za != "") & (zb != "")

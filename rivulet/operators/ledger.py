@@ -13,12 +13,12 @@ def _needle(q: str) -> Column:
     return normalize_name(F.lit(q))
 
 
-def sources(entities: DataFrame, edges: DataFrame, entity: str, p: LedgerParams) -> DataFrame:
-    """Counterparties from the edges. A self-loop is there once for each side asked for. A needle that normalizes to nothing filters nothing."""
+def sources(entities: DataFrame, edges: DataFrame, entity: str, p: LedgerParams, edges_from: DataFrame | None = None) -> DataFrame:
+    """Counterparties from the edges (``edges_from``: the same in order of from_id, if stored so too). A self-loop is there once for each side asked for. A needle that normalizes to nothing filters nothing."""
     flows = {"in": [("to_id", "from_id", "in")], "out": [("from_id", "to_id", "out")], "all": [("to_id", "from_id", "in"), ("from_id", "to_id", "out")]}[p.direction]
     base = None
     for mine, other, flow in flows:
-        side = edges.filter(F.col(mine) == entity).select(F.col(other).alias("entity_id"), F.col("total_amount").alias("amount"), "txn_count", "first_date", "last_date", F.lit(flow).alias("flow"))
+        side = (edges_from if edges_from is not None and flow == "out" else edges).filter(F.col(mine) == entity).select(F.col(other).alias("entity_id"), F.col("total_amount").alias("amount"), "txn_count", "first_date", "last_date", F.lit(flow).alias("flow"))
         base = side if base is None else base.unionByName(side)
     rows = base.join(entities.select(F.col("id").alias("entity_id"), "name", "normalized_name", "kind", "committee_type"), "entity_id")
     if p.min_amount is not None:
@@ -59,7 +59,11 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").cast("int").alias("total"), F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(26,2)").cast("string").alias("total_amount"))
 
 
-def export_csv(rows: DataFrame, path: str) -> None:
-    """Every cell quoted, quotes doubled, one header. The view's columns stay in order."""
-    cells = rows.select([F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns])
+#: Rows that an export holds at most.
+EXPORT_ROWS = 20_000
+
+
+def export_csv(rows: DataFrame, path: str, most: int = EXPORT_ROWS) -> None:
+    """One file of at most ``most`` rows in the order of ``rows``: every cell quoted, quotes doubled, one header. The view's columns stay in order."""
+    cells = rows.limit(most).select([F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns])
     cells.coalesce(1).write.csv(path, header=True, quoteAll=True, escape='"', emptyValue="")

@@ -115,13 +115,29 @@ def orphan_entities(entities: DataFrame, txns: DataFrame, saved: DataFrame | Non
     return entities.filter(F.col("source_id") == source_id).join(reduce(DataFrame.unionByName, used), "id", "left_anti")
 
 
-def purge_source(entities: DataFrame, edges: DataFrame, txns: DataFrame, saved: DataFrame | None, source_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entities, edges and transactions without a source; totals and edges are rebuilt from what is left."""
+def purge_source(entities: DataFrame, edges: DataFrame, txns: DataFrame, saved: DataFrame | None, source_id: str, entity_source: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, edges and transactions without a source; totals and edges are rebuilt from what is left.
+
+    ``entity_source``: whose entities go if nothing refers to them any more; the source's own unless given.
+    """
     kept = txns.filter(~F.col("source_id").eqNullSafe(F.lit(source_id)))
-    left = entities.join(orphan_entities(entities, kept, saved, source_id).select("id"), "id", "left_anti")
+    left = entities.join(orphan_entities(entities, kept, saved, entity_source or source_id).select("id"), "id", "left_anti")
     return (*rebuild_all(left, kept), kept)
 
 
+def removed_counts(before: tuple[DataFrame, DataFrame, DataFrame], after: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """One row: how many entities, edges and transactions are gone. Keys: id, edge_id, id."""
+    gone = [a.join(b.select(k), k, "left_anti").agg(F.count("*").alias(f"{n}_removed")) for a, b, k, n in zip(before, after, ("id", "edge_id", "id"), ("entities", "edges", "transactions"), strict=True)]
+    return reduce(DataFrame.join, gone)  # one row each
+
+
+def rebuild_counts(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: what a rebuild has written: edges, entities with totals, and traversable ones."""
+    a = edges.agg(F.count("*").alias("edges"), F.count_if("is_direct_link").alias("direct_links"))
+    b = entities.agg(F.count_if(F.col("in_degree") + F.col("out_degree") > 0).alias("entities_with_totals"), F.count_if("is_traversable").alias("traversable"))
+    return a.join(b)  # one row each
+
+
 def rebuild_all(entities: DataFrame, txns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities and edges from the transactions alone: traversability first, then edges, then totals."""
     promoted = promote(entities, txns)

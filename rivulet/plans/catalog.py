@@ -223,9 +223,7 @@ _KEEP = BASE + """, kept AS (SELECT * FROM flow WHERE source_id <> 'q1'), trav A
 def purge_source(spark, sf):
     """Source q1's transactions go, and customers left without any."""
     entities, edges, txns = T.graph(spark, sf)
-    kept = txns.filter(F.col("source_id") != "q1")
-    left = entities.join(D.orphan_entities(entities, kept, None, "qC").select("id"), "id", "left_anti")
-    return totals_out(D.rebuild_all(left, kept)[0])
+    return totals_out(D.purge_source(entities, edges, txns, None, "q1", "qC")[0])
 
 
 @query(FLOW + ", kept AS (SELECT * FROM flow WHERE source_id = 'q0') SELECT edge_id FROM edge WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.from_id = edge.from_id AND k.to_id = edge.to_id)")
@@ -273,9 +271,9 @@ def _hop(name: str, direction: str, k: int, where: str = "true", **options) -> N
     sql = FLOW + f", h AS ({hop_sql('SELECT DISTINCT concat(chr(83), CAST(s_suppkey AS VARCHAR)) FROM supplier', direction, k, where)}) SELECT {EDGE_OUT}, frontier_id, branch, neighbour, CAST(rank AS INTEGER) AS rank FROM h"
 
     def run(spark, sf):
-        edges = T.graph(spark, sf)[1]
+        g = T.stored_graph(spark, sf)
         frontier = T.read(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"))
-        h = G.hop(edges, frontier, direction, k, G.edge_filter(**options))
+        h = G.hop(g.edges, frontier, direction, k, G.edge_filter(**options), g.edges_from)
         return h.select("edge_id", "from_id", "to_id", *text("total_amount"), "txn_count", *text("first_date", "last_date"), "is_direct_link", "frontier_id", "branch", "neighbour", "rank")
 
     run.__name__ = name
@@ -311,8 +309,8 @@ _CRAWLS = {"d2": ("both", "is_direct_link", 25, 600, "direct"), "capped": ("both
 
 def _crawl(spark, sf, name):
     direction, _, k, cap, mode = _CRAWLS[name]
-    entities, edges = T.stored_graph(spark, sf)
-    return G.crawl_all(spark, entities, edges, CrawlParams(_SEED, 2, direction, mode, max_per_node=k, max_nodes=cap))
+    g = T.stored_graph(spark, sf)
+    return G.crawl_all(spark, g.entities, g.edges, CrawlParams(_SEED, 2, direction, mode, max_per_node=k, max_nodes=cap), g.edges_from)
 
 
 def _crawl_sql(name: str) -> str:
@@ -366,22 +364,22 @@ def crawl_totals(spark, sf):
 
 @query(FLOW + f" SELECT DISTINCT id FROM (SELECT '{_SEED}' AS id UNION ALL SELECT from_id FROM edge WHERE to_id = '{_SEED}' UNION ALL SELECT to_id FROM edge WHERE from_id = '{_SEED}')")
 def ego_network(spark, sf):
-    return G.ego_network(T.graph(spark, sf)[1], _SEED)[0]
+    return G.ego_network(T.stored_graph(spark, sf).edges, _SEED)[0]
 
 
 @query(ENT + " SELECT id, is_traversable AND in_degree + out_degree > 0 AS has_more FROM ent")
 def has_more(spark, sf):
-    return G.expandable(T.graph(spark, sf)[0]).select("id", "has_more")
+    return G.expandable(T.stored_graph(spark, sf).entities).select("id", "has_more")
 
 
 @query(ENT + " SELECT id, name, CAST(total_received AS VARCHAR) AS total_received FROM ent WHERE is_traversable AND out_degree = 0 ORDER BY ent.total_received DESC, id LIMIT 8")
 def expand_frontier(spark, sf):
-    return G.expansion_frontier(T.graph(spark, sf)[0]).select("id", "name", *text("total_received"))
+    return G.expansion_frontier(T.stored_graph(spark, sf).entities).select("id", "name", *text("total_received"))
 
 
 @query(FLOW + " SELECT edge_id, CAST(round(1 + 7 * log10(CAST(total_amount AS DOUBLE) + 1) / log10((SELECT CAST(max(total_amount) AS DOUBLE) FROM edge) + 1), 6) AS VARCHAR) AS width FROM edge")
 def edge_width(spark, sf):
-    edges = T.graph(spark, sf)[1]
+    edges = T.stored_graph(spark, sf).edges
     top = edges.agg(F.max("total_amount").alias("top"))
     return edges.join(F.broadcast(top)).select("edge_id", F.round(X.edge_width(F.col("total_amount"), F.col("top")), 6).cast("string").alias("width"))
 
@@ -405,8 +403,8 @@ def _sources_out(rows: DataFrame) -> DataFrame:
 
 def _ledger(name: str, p: LedgerParams) -> None:
     def run(spark, sf):
-        entities, edges, _ = T.graph(spark, sf)
-        return _sources_out(L.sources(entities, edges, _SEED, p))
+        g = T.stored_graph(spark, sf)
+        return _sources_out(L.sources(g.entities, g.edges, _SEED, p, g.edges_from))
 
     run.__name__ = name
     query(_sources_sql(p.direction) + _SOURCES_OUT)(run)
@@ -418,23 +416,20 @@ for _d in ("in", "out", "all"):
 
 @query(_sources_sql("all") + _SOURCES_OUT + " WHERE amount >= 50000 AND normalized_name LIKE '%0001%' ORDER BY last_date DESC NULLS LAST, entity_id, flow LIMIT 20 OFFSET 5")
 def ledger_page(spark, sf):
-    entities, edges, _ = T.graph(spark, sf)
+    g = T.stored_graph(spark, sf)
     p = LedgerParams(direction="all", q="0001", sort="date", limit=20, offset=5, min_amount=50000)
-    return _sources_out(L.page(L.sources(entities, edges, _SEED, p), p))
+    return _sources_out(L.page(L.sources(g.entities, g.edges, _SEED, p, g.edges_from), p))
 
 
 @query(_sources_sql("all") + " SELECT CAST(count(*) AS INTEGER) AS total, CAST(CAST(coalesce(sum(amount), 0) AS DECIMAL(26,2)) AS VARCHAR) AS total_amount FROM led")
 def ledger_totals(spark, sf):
-    entities, edges, _ = T.graph(spark, sf)
-    return L.totals(L.sources(entities, edges, _SEED, LedgerParams(direction="all")))
+    g = T.stored_graph(spark, sf)
+    return L.totals(L.sources(g.entities, g.edges, _SEED, LedgerParams(direction="all"), g.edges_from))
 
 
 def _txn_rows(spark, sf):
-    who = T.parties(spark, sf)
-    t = T.flows(spark, sf)
-    name = lambda side: who.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"raw_{side}_name"), *([F.col("city")] if side == "from" else []))
-    rows = t.join(name("from"), "from_id").join(name("to"), "to_id").withColumnsRenamed({"day": "txn_date", "type_code": "txn_type_code"})
-    sources = t.select("source_id").distinct().filter("source_id <> 'q2'").select(F.col("source_id").alias("id"), F.concat(F.lit("source "), "source_id").alias("key"))
+    rows = T.stored_graph(spark, sf).txns.withColumnsRenamed({"day": "txn_date", "type_code": "txn_type_code"})
+    sources = rows.select("source_id").distinct().filter("source_id <> 'q2'").select(F.col("source_id").alias("id"), F.concat(F.lit("source "), "source_id").alias("key"))
     return rows.withColumns({"state_code": F.lit(None).cast("string"), "occupation": F.lit(None).cast("string")}), sources
 
 
@@ -461,8 +456,8 @@ _txns("ledger_txns_all", "all", f"to_id = '{_SEED}' OR from_id = '{_SEED}'")
 @query(_sources_sql("all") + """ SELECT entity_id, flow, concat_ws(' · ', kind, CASE WHEN txn_count > 1 THEN concat(CAST(txn_count AS VARCHAR), ' transactions') END, CAST(last_date AS VARCHAR)) AS subtitle,
  concat(CASE WHEN flow = 'out' THEN '−' ELSE '' END, CAST(amount AS VARCHAR)) AS signed FROM led""")
 def ledger_subtitle(spark, sf):
-    entities, edges, _ = T.graph(spark, sf)
-    rows = L.sources(entities, edges, _SEED, LedgerParams(direction="all"))
+    g = T.stored_graph(spark, sf)
+    rows = L.sources(g.entities, g.edges, _SEED, LedgerParams(direction="all"), g.edges_from)
     signed = F.concat(F.when(F.col("flow") == "out", "−").otherwise(""), F.col("amount").cast("string"))
     return rows.select("entity_id", "flow", X.source_subtitle(F.col("kind"), F.col("txn_count"), F.col("last_date")).alias("subtitle"), signed.alias("signed"))
 
@@ -478,17 +473,17 @@ def _search_sql(q: str, more: str = "true") -> str:
 
 @query(_search_sql("supplier 00000004"))
 def entity_search(spark, sf):
-    return S.search(T.graph(spark, sf)[0], SearchParams("supplier 00000004")).select("id", "name", "kind", *text("total_received"), "score")
+    return S.search(T.stored_graph(spark, sf).entities, SearchParams("supplier 00000004")).select("id", "name", "kind", *text("total_received"), "score")
 
 
 @query(_search_sql("Customer #0000001", "is_traversable"))
 def entity_search_traversable(spark, sf):
-    return S.search(T.graph(spark, sf)[0], SearchParams("Customer #0000001", traversable_only=True)).select("id", "name", "kind", *text("total_received"), "score")
+    return S.search(T.stored_graph(spark, sf).entities, SearchParams("Customer #0000001", traversable_only=True)).select("id", "name", "kind", *text("total_received"), "score")
 
 
 @query(ENT + f" SELECT id, name, kind, committee_type, city, is_traversable, {TOTAL_OUT}, CAST(1 AS FLOAT) AS score FROM ent WHERE id = '{_SEED}'")
 def entity_lookup(spark, sf):
-    return totals_out(S.lookup(T.graph(spark, sf)[0], _SEED), "name", "kind", "committee_type", "city", "is_traversable", "score")
+    return totals_out(S.lookup(T.stored_graph(spark, sf).entities, _SEED), "name", "kind", "committee_type", "city", "is_traversable", "score")
 
 
 @query(ENT + """ SELECT (SELECT count(*) FROM ent) AS entities, (SELECT count(*) FROM ent WHERE is_traversable) AS traversable, (SELECT count(*) FROM flow) AS transactions,
@@ -502,7 +497,7 @@ def summary(spark, sf):
 
 @query(ENT + " SELECT id, name, CAST(total_received AS VARCHAR) AS total_received, in_degree FROM ent ORDER BY ent.total_received DESC NULLS LAST, id LIMIT 8")
 def top_recipients(spark, sf):
-    return T.graph(spark, sf)[0].orderBy(F.desc_nulls_last("total_received"), "id").limit(8).select("id", "name", *text("total_received"), "in_degree")
+    return T.stored_graph(spark, sf).entities.orderBy(F.desc_nulls_last("total_received"), "id").limit(8).select("id", "name", *text("total_received"), "in_degree")
 
 
 @query(BASE + """ SELECT filer, count(*) FILTER (WHERE direction = 'contribution') AS contributions, count(*) FILTER (WHERE direction = 'expenditure') AS expenditures,
@@ -580,13 +575,27 @@ def looks_like_person(spark, sf):
     return _persons(spark, sf).select("name", N.looks_like_person(c).alias("person"), N.display_name(c).alias("display"))
 
 
-_PAIRS = f"""WITH n AS (SELECT DISTINCT {_LABEL} AS name, p_size FROM part), p AS (SELECT DISTINCT a.name AS a, b.name AS b FROM n a JOIN n b USING (p_size)),
- m AS (SELECT a, b, {norm_sql('a')} AS na, {norm_sql('b')} AS nb FROM p)"""
+_ENDS = "CASE length({0}) % 3 WHEN 0 THEN ' Inc.' WHEN 1 THEN ' of Commerce PAC' ELSE '' END"
+_PAIRS = f"""WITH w AS (SELECT DISTINCT p_name AS id, {norm_sql('p_name')} AS n FROM part), g AS (SELECT id, {word_grams_sql('n')} AS g FROM w),
+ sim AS (SELECT a.id, b.id AS other, {jaccard_sql('a.g', 'b.g')} AS similarity FROM g a, g b), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS rank FROM sim WHERE similarity >= 0.3),
+ p AS (SELECT concat(id, {_ENDS.format('other')}) AS a, concat(other, {_ENDS.format('id')}) AS b FROM r WHERE rank <= 10),
+ m AS (SELECT DISTINCT a, b, {norm_sql('a')} AS na, {norm_sql('b')} AS nb FROM p)"""
 
 
 def _pairs(spark, sf):
-    n = _labels(spark, sf)
-    return n.withColumnRenamed("name", "a").join(n.withColumnRenamed("name", "b"), "p_size").select("a", "b").distinct()
+    """Each name with the ten most similar ones, with endings that change from pair to pair."""
+    n = T.read(spark, sf, "part").select(F.col("p_name").alias("id"), N.normalize_name(F.col("p_name")).alias("n")).distinct()
+    short = S.similarity_shortlist(n, n)
+    end = lambda c: F.when(F.length(c) % 3 == 0, " Inc.").when(F.length(c) % 3 == 1, " of Commerce PAC").otherwise("")
+    return short.select(F.concat("id", end("other")).alias("a"), F.concat("other", end("id")).alias("b")).distinct()
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """a, b, score. What a name's score needs is computed once a name, not once a pair."""
+    names = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("x"), N.profile(F.col("a")).alias("p"))
+    side = lambda c: names.select(F.col("x").alias(c), F.col("p").alias(f"p{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", F.round(N.score_profiles(F.col("pa"), F.col("pb"))["score"], 9).alias("score"))
 
 
 _TRI = f"CASE WHEN na = nb THEN 1.0::DOUBLE WHEN na = '' OR nb = '' THEN 0.0::DOUBLE ELSE {jaccard_sql(grams_sql('na'), grams_sql('nb'))} END"
@@ -614,13 +623,12 @@ _SCORE = f"""CASE WHEN na = nb THEN 1.0::DOUBLE ELSE least(CASE WHEN {key_sql('n
 
 @query(_PAIRS + f", s AS (SELECT a, b, round({_SCORE}, 9) AS score FROM m) SELECT a, b, score, CASE WHEN score >= 0.88 THEN 'LINK' WHEN score >= 0.62 THEN 'review' ELSE '-' END AS verdict FROM s")
 def score_match(spark, sf):
-    scored = _pairs(spark, sf).withColumn("score", F.round(N.score_match(F.col("a"), F.col("b"))["score"], 9))
-    return scored.withColumn("verdict", N.verdict(F.col("score")))
+    return _scored(_pairs(spark, sf)).withColumn("verdict", N.verdict(F.col("score")))
 
 
 @query(_PAIRS + f", s AS (SELECT a, b, round({_SCORE}, 9) AS score FROM m WHERE a <> b) SELECT a, arg_min(b, (-score, b)) AS best, max(score) AS score FROM s GROUP BY a")
 def best_match(spark, sf):
-    scored = _pairs(spark, sf).filter("a <> b").withColumn("score", F.round(N.score_match(F.col("a"), F.col("b"))["score"], 9))
+    scored = _scored(_pairs(spark, sf).filter("a <> b"))
     return scored.groupBy("a").agg(F.min_by("b", F.struct(-F.col("score"), F.col("b"))).alias("best"), F.max("score").alias("score"))
 
 
@@ -637,13 +645,13 @@ def prefix_resolve(spark, sf):
 
 
 @query(f"""WITH a AS (SELECT {norm_sql("concat(p_name, ' ', p_brand)")} AS n, concat('P', CAST(p_size AS VARCHAR)) AS entity_id, CAST(p_size / 50.0::DOUBLE AS FLOAT) AS confidence FROM part),
- q AS (SELECT DISTINCT {norm_sql("concat(p_name, ' ', p_brand)")} AS n FROM part WHERE p_type = 'PROMO')
+ q AS (SELECT DISTINCT {norm_sql("concat(p_name, ' ', p_brand)")} AS n FROM part)
  SELECT n, arg_min(entity_id, (-confidence, entity_id)) AS entity_id, max(confidence) AS confidence FROM q JOIN a USING (n) GROUP BY n""")
 def alias_resolve(spark, sf):
     p = T.read(spark, sf, "part")
     n = N.normalize_name(F.concat_ws(" ", "p_name", "p_brand"))
     aliases = p.select(n.alias("normalized_alias"), F.concat(F.lit("P"), F.col("p_size").cast("string")).alias("entity_id"), (F.col("p_size") / 50.0).cast("float").alias("confidence"))
-    return S.alias_resolve(p.filter("p_type = 'PROMO'").select(n.alias("n")).distinct(), aliases)
+    return S.alias_resolve(p.select(n.alias("n")).distinct(), aliases)
 
 
 @query(f"""WITH n AS (SELECT DISTINCT p_name AS id, {norm_sql('p_name')} AS n FROM part), g AS (SELECT id, {word_grams_sql('n')} AS g FROM n),
@@ -670,13 +678,13 @@ def money_sql(x: str) -> str:
 
 @query(ENT + f" SELECT id, {money_sql('total_received')} AS received, {money_sql('total_given')} AS given FROM ent")
 def money_format(spark, sf):
-    return T.graph(spark, sf)[0].select("id", X.format_money(F.col("total_received")).alias("received"), X.format_money(F.col("total_given")).alias("given"))
+    return T.stored_graph(spark, sf).entities.select("id", X.format_money(F.col("total_received")).alias("received"), X.format_money(F.col("total_given")).alias("given"))
 
 
 @query(ENT + f""" SELECT id, concat_ws(chr(10), name, nullif(array_to_string(list_filter([CASE WHEN total_received > 0 THEN concat('in ', {money_sql('total_received')}) END,
  CASE WHEN total_given > 0 THEN concat('out ', {money_sql('total_given')}) END], lambda p: p IS NOT NULL), ' · '), '')) AS label FROM ent""")
 def tile_label(spark, sf):
-    return T.graph(spark, sf)[0].select("id", X.tile_label(F.col("name"), F.col("total_received"), F.col("total_given")).alias("label"))
+    return T.stored_graph(spark, sf).entities.select("id", X.tile_label(F.col("name"), F.col("total_received"), F.col("total_given")).alias("label"))
 
 
 @query("SELECT doc_id, CASE WHEN length(s) <= 38 THEN s ELSE concat(rtrim(left(s, 37)), '…') END AS label FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM documents)")

@@ -6,6 +6,8 @@ The supplier (S...) files. An item is an expenditure if it was returned and is l
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..functions.names import normalize_name
 from ..functions.text import directed_ends, row_hash
 from ..operators.load import promote, rollup_edges, with_totals
 from ..schemas import COMMITTEE_TYPES
-from .store import cut
+from .store import cut, release
 
 MONEY = "decimal(16,2)"
 
@@ -66,12 +68,42 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return with_totals(promoted, edges), edges, txns
 
 
-def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Entities and edges stored once, edges in order of their target, as a crawl reads them level after level."""
-    txns = flows(spark, sf_dir)
-    promoted = promote(parties(spark, sf_dir), txns)
-    edges = cut(rollup_edges(txns, promoted.filter("is_traversable").select("id")).sortWithinPartitions("to_id"))
-    return cut(with_totals(promoted, edges)), edges
+@dataclass
+class Stored:
+    """A graph as its readers use it: edges twice, in order of either end, so that a look at few nodes reads few row groups."""
+
+    entities: DataFrame
+    edges: DataFrame
+    edges_from: DataFrame
+    txns: DataFrame
+
+
+_STORED: dict[tuple, Stored] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
+    """What tells one state of the input tables from another: their files, sizes and times."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for n in names:
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{n}.parquet")
+        out += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in p.getFileSystem(conf).listStatus(p))
+    return tuple(out)
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> Stored:
+    """The graph, stored once for a state of the tables; hops, crawls, ledgers and searches read it in place of building it."""
+    key = (spark.sparkContext.applicationId, _state(spark, sf_dir, ["lineitem", "orders", "customer", "supplier", "nation"]))
+    if key not in _STORED:
+        txns = flows(spark, sf_dir)
+        promoted = promote(parties(spark, sf_dir), txns)
+        edges = cut(rollup_edges(txns, promoted.filter("is_traversable").select("id")), "edges")
+        entities = cut(with_totals(promoted, edges).repartitionByRange("id").sortWithinPartitions("id"), "entities")
+        by = lambda c: cut(edges.repartitionByRange(c, "edge_id").sortWithinPartitions(c), f"edges-{c}")
+        name = lambda side: entities.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"raw_{side}_name"), *([F.col("city")] if side == "from" else []))
+        named = txns.join(name("from"), "from_id").join(name("to"), "to_id")
+        _STORED[key] = Stored(entities, by("to_id"), by("from_id"), cut(named.repartitionByRange("to_id", "id").sortWithinPartitions("to_id"), "transactions"))
+        release(edges)
+    return _STORED[key]
 
 
 def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
