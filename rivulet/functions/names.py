@@ -1,7 +1,7 @@
 """Party names: normal forms, blocking keys, person and truncation tests, similarities and the match score.
 
 All are Column expressions, so they stay in generated code. ``fold_tail`` alone needs Python: full compatibility
-decomposition for letters outside the Latin blocks.
+decomposition for characters that come to several and are no Latin ligatures (fractions, squared words).
 """
 
 from __future__ import annotations
@@ -27,13 +27,20 @@ TRIGRAM_WEIGHT, OVERLAP_WEIGHT, BLOCK_SCORE, PREFIX_SCORE, MOST = 0.55, 0.45, 0.
 ZIP5_BONUS, ZIP3_BONUS, CITY_BONUS, SIMILAR = 0.08, 0.04, 0.03, 0.3
 
 
-def _latin() -> tuple[str, str]:
-    """Latin letters that decompose to one plain letter, and those letters."""
-    pairs = [(chr(c), p) for c in range(0xC0, 0x250) if len(p := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not 0x300 <= ord(x) <= 0x36F)) == 1 and p.isascii()]
+def _plain(c: str) -> str:
+    """Full compatibility decomposition, in upper case, without combining marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", c).upper()) if not 0x300 <= ord(x) <= 0x36F)
+
+
+def _single() -> tuple[str, str]:
+    """Characters of the basic plane that come to one plain ASCII character, such as accented and full-width ones, and those characters."""
+    pairs = [(chr(c), p) for c in range(0xA1, 0xFFFF) if not 0xD800 <= c < 0xE000 and len(p := _plain(chr(c))) == 1 and p.isascii() and p != chr(c)]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-ACCENTED, PLAIN = _latin()
+ACCENTED, PLAIN = _single()
+#: Ligatures of Latin letters, which come to several.
+LIGATURES = {chr(c): _plain(chr(c)) for c in (0xDF, 0x132, 0x133, 0x1C4, 0x1C5, 0x1C6, 0x1C7, 0x1C8, 0x1C9, 0x1CA, 0x1CB, 0x1CC, 0x1F1, 0x1F2, 0x1F3, *range(0xFB00, 0xFB07))}
 
 
 def squeeze(c: Column) -> Column:
@@ -53,8 +60,10 @@ def split_type_tag(raw: Column) -> tuple[Column, Column]:
 
 
 def fold(c: Column) -> Column:
-    """Upper case without accents, for Latin letters."""
-    return F.translate(F.regexp_replace(F.upper(F.replace(c, F.lit("ß"), F.lit("ss"))), r"[\x{0300}-\x{036F}]", ""), ACCENTED, PLAIN)
+    """Upper case without accents, full-width forms and other variants as plain letters, Latin ligatures spelled out."""
+    for a, b in LIGATURES.items():
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.translate(F.regexp_replace(F.upper(c), r"[\x{0300}-\x{036F}]", ""), ACCENTED, PLAIN)
 
 
 def _normal_from(folded: Column) -> Column:

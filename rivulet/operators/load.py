@@ -162,11 +162,16 @@ def apply_registry(entities: DataFrame, registry: DataFrame) -> DataFrame:
     return out.select(entities.columns)
 
 
-def run_record(spark, source_id: str, fetched: int, inserted: int, skipped: int, error: str | None = None, scope: str | None = None) -> DataFrame:
-    """One row for the run log; failed exactly if there is an error."""
+def run_records(runs: DataFrame, source_id: str, started_at: Column) -> DataFrame:
+    """Rows for the run log. ``runs``: scope, rows_fetched, rows_inserted, rows_skipped, error. A run failed exactly if it has an error."""
     now = F.current_timestamp()
-    return spark.range(1).select(
-        digest_id(F.lit(source_id), now.cast("string")).alias("id"), F.lit(source_id).alias("source_id"), F.lit("failed" if error else "succeeded").alias("status"),
-        F.lit(scope).cast("string").alias("scope"), F.lit(fetched).alias("rows_fetched"), F.lit(inserted).alias("rows_inserted"), F.lit(skipped).alias("rows_skipped"),
-        F.lit(error).cast("string").alias("error"), now.alias("started_at"), now.alias("finished_at"),
+    return runs.select(
+        digest_id(F.lit(source_id), F.col("scope"), now.cast("string")).alias("id"), F.lit(source_id).alias("source_id"), F.when(F.col("error").isNotNull(), "failed").otherwise("succeeded").alias("status"),
+        "scope", "rows_fetched", "rows_inserted", "rows_skipped", "error", started_at.alias("started_at"), now.alias("finished_at"),
     )
+
+
+def run_record(spark, source_id: str, fetched: int, inserted: int, skipped: int, error: str | None = None, scope: str | None = None, started_at: Column | None = None) -> DataFrame:
+    """One row for the run log."""
+    run = spark.createDataFrame([(scope, fetched, inserted, skipped, error)], "scope string, rows_fetched int, rows_inserted int, rows_skipped int, error string")
+    return run_records(run, source_id, F.current_timestamp() if started_at is None else started_at)
