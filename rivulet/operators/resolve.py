@@ -52,14 +52,14 @@ def _decide(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["n", "entity_id", "confidence", "method", "miss", "miss_score"])
 
 
-def resolve_batch(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, shortlist: int | None = None, strict_prefix: bool = False, alias_floor: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def resolve_batch(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, shortlist: int | None = 10, strict_prefix: bool = False, alias_floor: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(resolved, new entities, new aliases).
 
     ``mentions``: place (long, the order), raw, recipient (boolean), hint, zip, city, occupation. ``entities``: id, name,
     normalized_name, zip, city. ``aliases``: entity_id, normalized_alias, confidence. ``resolved``: place, n, entity_id,
     confidence, method; later mentions of a name have confidence 1 and method cache. Names that normalize to nothing are left
-    out; the caller counts them as skipped. ``shortlist``: with a number, only that many most similar candidates are scored,
-    and components hold all pairs of similarity .3 and more; without, all candidates that can matter are scored.
+    out; the caller counts them as skipped. ``shortlist``: only that many most similar candidates are scored, and components
+    hold all pairs of similarity .3 and more; with None, all candidates that can matter are scored.
     """
     named = mentions.withColumns({"n": N.normalize_name(F.col("raw")), "truncated": N.looks_truncated(F.col("raw"))}).filter("n <> ''")
     first = cut(first_by(named, ["n"], ["place"]))
