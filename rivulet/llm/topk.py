@@ -1,17 +1,15 @@
 """Exact top-k search by inner product, in three phases with one uniform threshold a query.
 
 Vectors lie in cells, queries in blocks; every cell meets every block once (a stated query set against all rows). A score is
-the sum of two lists: the part over the leading components, and the rest, which Cauchy and Schwarz bound from the norms.
-1. Each cell ranks its rows by the leading part and sends the exact scores of its best k: the local lists.
-2. The k-th best of the merged lists is a safe cutoff for the query, as at least k rows reach it. It is sent back to all cells,
-   and each collects the rows whose leading part plus bound can reach it.
-3. Only those rows' scores are resolved, exactly, and the best k of all are the result.
+the sum of ``LISTS`` lists, one for each run of components.
+1. Each cell ranks its rows by each list and sends the whole scores of the lists' best k: the local score lists.
+2. The k-th best of the merged lists is a safe cutoff T for the query, as at least k rows reach it. It is sent back to all cells.
+   A row whose share of every list is below T / ``LISTS`` can't reach it, so the cells collect those with one list that does.
+3. Only their scores are resolved, exactly, and the best k of all are the result.
 """
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +20,10 @@ from .common import table, written
 
 #: Rows a cell, queries a block: what meets in one task.
 CELL, BLOCK = 8192, 4096
+#: Lists that a score is the sum of. With more of them the uniform threshold is lower, so more rows are collected.
+LISTS = 2
+#: Queries that meet a cell's rows at a time.
+STEP = 256
 
 
 def _matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -35,19 +37,34 @@ def _matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of whole numbers held as doubles: by BLAS where every sum is exact in doubles, else as Python integers."""
-    if len(q) and len(x) and np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2.0**53:
-        return (q @ x.T).astype(np.int64)
+    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2.0**53:
+        return q @ x.T
     whole = lambda m: np.array([[int(v) for v in row] for row in m], object).reshape(m.shape)
     return whole(q) @ whole(x).T
 
 
-def _cap(score) -> int:
-    """Scores beyond 64 bits are given as the nearest that fits; their order is decided before."""
+def _lists(q: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+    """What each run of components adds to the scores."""
+    cuts = [q.shape[1] * j // LISTS for j in range(LISTS + 1)]
+    return [_products(q[:, i:j], x[:, i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def _long(score) -> int:
     return max(-(2**63), min(2**63 - 1, int(score)))
 
 
+def _beyond(score) -> bytes | None:
+    """Orders scores that 64 bits can't hold and that are all given as the nearest one: larger numbers have larger bytes."""
+    n = int(score)
+    if -(2**63) < n < 2**63 - 1:
+        return None
+    size = abs(n).bit_length() // 8 + 1
+    raw = size.to_bytes(2, "big") + abs(n).to_bytes(size, "big")
+    return raw if n > 0 else bytes(255 - x for x in raw)
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to the smaller id."""
     if len(scores) > 4 * k and scores.dtype != object:
@@ -76,8 +93,48 @@ def _pairs(left: pa.Table, right: pa.Table):
 
 
 def _result(query: list, ids: list, scores: list) -> pa.Table:
-    join = lambda x, t: pa.array(np.concatenate(x).tolist() if x else [], t)
-    return pa.table({"query_id": join(query, pa.int64()), "vec_id": join(ids, pa.int64()), "score": join(scores, pa.int64())})
+    join = lambda x: np.concatenate(x).tolist() if x else []
+    flat = join(scores)
+    return pa.table({"query_id": pa.array(join(query), pa.int64()), "vec_id": pa.array(join(ids), pa.int64()), "score": pa.array(map(_long, flat), pa.int64()), "beyond": pa.array(map(_beyond, flat), pa.binary())})
+
+
+def local_lists(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int) -> tuple[list, list, list]:
+    """Phase 1: queries, rows and whole scores of each list's best k rows."""
+    out: tuple[list, list, list] = ([], [], [])
+    for i in range(0, len(qid) if len(xid) else 0, STEP):
+        lists = _lists(q[i : i + STEP], x)
+        total = sum(lists[1:], lists[0])
+        for j in range(len(total)):
+            mine = qid[i + j]
+            at: np.ndarray = np.empty(0, np.int64)
+            for part in lists:
+                order = np.argsort if part.dtype == object else (lambda v: np.argpartition(v, len(v) - k - 1))
+                top = np.arange(len(xid)) if len(xid) <= k + 1 else order(part[j])[len(xid) - k - 1 :]
+                at = np.union1d(at, top[xid[top] != mine])
+            out[0].append(np.full(len(at), mine))
+            out[1].append(xid[at])
+            out[2].append(total[j][at])
+    return out
+
+
+def collected(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, cutoff: np.ndarray, k: int) -> tuple[list, list, list, int]:
+    """Phases 2 and 3: of the rows with one list that reaches its part of the cutoff, the best k; and how many rows those were."""
+    out: tuple[list, list, list] = ([], [], [])
+    kept = 0
+    for i in range(0, len(qid) if len(xid) else 0, STEP):
+        lists = _lists(q[i : i + STEP], x)
+        least = cutoff[i : i + STEP, None] / LISTS
+        able = np.logical_or.reduce([part >= least for part in lists])
+        for j in range(len(able)):
+            at = np.flatnonzero(able[j])
+            at = at[xid[at] != qid[i + j]]
+            kept += len(at)
+            scores = sum((part[j][at] for part in lists[1:]), lists[0][j][at])
+            best = _best(xid[at], scores, k)
+            out[0].append(np.full(len(best), qid[i + j]))
+            out[1].append(xid[at][best])
+            out[2].append(scores[best])
+    return (*out, kept)
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id", vector: str = "embedding", scale: int = 64, cell: int = CELL, block: int = BLOCK) -> DataFrame:
@@ -100,58 +157,23 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     right = rows.select(spread("id", cells).alias("cell"), every(blocks).alias("block"), "id", "v").repartition(cells * blocks, "cell", "block")
     left = asked.select(every(cells).alias("cell"), spread("id", blocks).alias("block"), "id", "v")
 
-    def lead(width: int) -> int:
-        return -(-width // 2)
-
     def scaled(m: np.ndarray) -> np.ndarray:
         return np.floor(scale * m.astype(np.float64))
 
-    def partial(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = lead(q.shape[1])
-        return q[:, :h] @ x[:, :h].T, np.sqrt((q[:, h:] ** 2).sum(1)), np.sqrt((x[:, h:] ** 2).sum(1))
-
     def local(a: pa.Table, b: pa.Table) -> pa.Table:
         qid, q, xid, x, _ = _pairs(a, b)
-        q, x = scaled(q), scaled(x)
-        out: tuple[list, list, list] = ([], [], [])
-        for i in range(0, len(qid), 256):
-            part, _, _ = partial(q[i : i + 256], x)
-            for j in range(part.shape[0]):
-                at = np.flatnonzero(xid != qid[i + j])
-                if len(at) > k:
-                    at = at[np.argpartition(part[j, at], len(at) - k)[len(at) - k :]]
-                if len(at):
-                    scores = _exact(q[i + j : i + j + 1], x[at])[0]
-                    out[0].append(np.full(len(at), qid[i + j]))
-                    out[1].append(xid[at])
-                    out[2].append(np.array([_cap(s) for s in scores], np.int64))
-        return _result(*out)
+        return _result(*local_lists(qid, scaled(q), xid, scaled(x), k))
 
     def final(a: pa.Table, b: pa.Table) -> pa.Table:
         qid, q, xid, x, kept = _pairs(a, b)
-        q, x = scaled(q), scaled(x)
-        cutoff = kept["cutoff"].to_numpy(zero_copy_only=False).astype(np.float64)
-        out: tuple[list, list, list] = ([], [], [])
-        for i in range(0, len(qid), 256):
-            part, rest_q, rest_x = partial(q[i : i + 256], x)
-            bound = part + np.outer(rest_q, rest_x)
-            slack = 1 + 1e-9 * (np.abs(part) + np.outer(rest_q, rest_x) + np.abs(np.nan_to_num(cutoff[i : i + 256, None])))
-            able = (bound + slack >= cutoff[i : i + 256, None]) | ~np.isfinite(bound)  # a query with fewer than k scores has no cutoff: -inf
-            for j in range(able.shape[0]):
-                at = np.flatnonzero(able[j] & (xid != qid[i + j]))
-                if len(at):
-                    scores = _exact(q[i + j : i + j + 1], x[at])[0]
-                    best = _best(xid[at], scores, k)
-                    out[0].append(np.full(len(best), qid[i + j]))
-                    out[1].append(xid[at][best])
-                    out[2].append(np.array([_cap(s) for s in scores[best]], np.int64))
-        return _result(*out)
-
-    kind = "query_id long, vec_id long, score long"
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        cutoff = kept["cutoff"].to_numpy(zero_copy_only=False).astype(np.float64)  # a query with fewer than k scores has none: -inf
+        return _result(*collected(qid, scaled(q), xid, scaled(x), cutoff, k)[:3])
+
+    kind = "query_id long, vec_id long, score long, beyond binary"
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     lists = left.repartition(cells * blocks, "cell", "block").groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(local, kind)
     cutoffs = written(spark, lists.withColumn("r", F.row_number().over(ranked)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff")), "cutoffs")
-    told = left.join(cutoffs, "id", "left").select("cell", "block", "id", "v", F.when(F.col("cutoff") > -(2**63), F.col("cutoff").cast("double")).otherwise(F.lit(float("-inf"))).alias("cutoff")).repartition(cells * blocks, "cell", "block")
+    told = left.join(cutoffs, "id", "left").select("cell", "block", "id", "v", F.when(F.col("cutoff") > -(2**63), F.col("cutoff").cast("double") - F.abs(F.col("cutoff")) * 1e-15).otherwise(F.lit(float("-inf"))).alias("cutoff")).repartition(cells * blocks, "cell", "block")
     entries = told.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(final, kind)
     best = entries.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -121,3 +121,31 @@ def test_pipeline(spark, tmp_path):
     assert ids["best-fit packing"] == ids["benchmark decontamination"]
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(x["doc_id"] for x in whole.collect()) == Counter(x["doc_id"] for x in at.collect())
+
+
+def test_top_k_collects_few_rows():
+    """The uniform threshold keeps all that belongs to the best, and few others."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = np.floor(64 * r.normal(0, 0.1, (4000, 64)))
+    ids, q = np.arange(4000), np.arange(0, 4000, 80)
+    scores = x[q] @ x.T
+    scores[np.arange(len(q)), q] = -np.inf
+    first = topk.local_lists(q, x[q], ids, x, 20)
+    cutoff = np.array([np.sort(s)[-20] for s in first[2]])
+    assert (cutoff <= np.sort(scores, 1)[:, -20]).all()
+    query, found, score, kept = topk.collected(q, x[q], ids, x, cutoff, 20)
+    assert kept < 0.3 * len(q) * len(ids)
+    for i in range(len(q)):
+        assert sorted(score[i], reverse=True) == sorted(scores[i], reverse=True)[:20] and set(query[i]) == {q[i]}
+
+
+def test_top_k_orders_scores_beyond_64_bits(spark):
+    """In different cells, of both signs."""
+    rows = [(0, [1e12, 1e12])] + [(i, [1e12 + 1e9 * (i * 7 % 11), 1e12]) for i in range(1, 12)] + [(20 + i, [-1e12 - 1e9 * (i * 7 % 11), -1e12]) for i in range(1, 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    want = sorted((i for i in whole if i), key=lambda i: (-sum(a * b for a, b in zip(whole[0], whole[i], strict=True)), i))
+    got = topk.top_k(spark, df, df.filter("vec_id = 0"), 22, cell=4, block=1).orderBy("rank").collect()
+    assert [x["vec_id"] for x in got] == want
