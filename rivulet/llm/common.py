@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 import pyarrow as pa
@@ -29,6 +30,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [next(x for k in count() if (x := n + "_" * k).lower() not in taken) for n in names]
 
 
+def shielded(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``own`` under names that clash with nothing, and what brings their names back (and drops others)."""
+    names = docs.columns
+    inner = [c if c in own else f"_kept_{i}" for i, c in enumerate(names)]
+    return docs.toDF(*inner), lambda df: df.select(inner).toDF(*names)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

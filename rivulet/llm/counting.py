@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shielded, table, written
 from .tokens import Encoder, default_tokenizer
 
 #: Characters a leaf, before it reaches the next boundary.
@@ -33,21 +33,33 @@ def _bounded(left: str, right: str) -> bool:
 
 class TokenTree:
     def __init__(self, text: str, encoder: Encoder, leaf: int = LEAF):
-        self.encoder = encoder
-        self.leaves, start = [], 0
+        leaves, start = [], 0
         for m in _BOUNDARY.finditer(text):
             if m.start() - start >= leaf:
-                self.leaves.append(text[start : m.start()])
+                leaves.append(text[start : m.start()])
                 start = m.start()
-        self.leaves.append(text[start:])
-        self.reencoded = 0
-        self.base = 1 << (len(self.leaves) - 1).bit_length()
+        leaves.append(text[start:])
+        self._build(leaves, [encoder.count(x) for x in leaves], encoder)
+
+    @classmethod
+    def stored(cls, leaves: list[str], counts: list[int], encoder: Encoder) -> "TokenTree":
+        """The tree of these leaves, whose tokens are counted already."""
+        tree = cls.__new__(cls)
+        tree._build(list(leaves) or [""], list(counts) or [0], encoder)
+        return tree
+
+    def _build(self, leaves: list[str], counts: list[int], encoder: Encoder) -> None:
+        self.encoder, self.leaves, self.reencoded = encoder, leaves, 0
+        self.base = 1 << (len(leaves) - 1).bit_length()
         self.tokens, self.chars = [0] * (2 * self.base), [0] * (2 * self.base)
-        for i, x in enumerate(self.leaves):
-            self.tokens[self.base + i], self.chars[self.base + i] = encoder.count(x), len(x)
+        self.tokens[self.base : self.base + len(leaves)] = counts
+        self.chars[self.base : self.base + len(leaves)] = map(len, leaves)
         for i in range(self.base - 1, 0, -1):
             self._sum(i)
 
+    def leaf_counts(self) -> list[int]:
+        return self.tokens[self.base : self.base + len(self.leaves)]
+
     def _sum(self, i: int) -> None:
         self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -112,37 +124,70 @@ def redactions(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def count_tokens(docs: DataFrame, edits=redactions, text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``n_edits``, ``n_tokens_edited`` and ``chars_reencoded`` (long).
+_TREE, _COUNTS = ("leaves", "leaf_tokens"), ("n_tokens", "n_edits", "n_tokens_edited", "chars_reencoded")
+
 
-    ``edits`` gives a text's edits as (start, stop, new), in order and apart; they are applied from the right, so places hold.
-    Every row stays, with all its columns, repeated rows too. Null and empty texts have no tokens and no edits. An empty table
-    gives an empty result.
+def token_trees(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """``docs`` with ``leaves`` array<string> and ``leaf_tokens`` array<int> in place of ``text``, which is the leaves joined.
+
+    Every row gives a tree; a null text has null leaves, an empty one a single empty leaf. Columns named like the new ones give way.
     """
-    names = ("n_tokens", "n_edits", "n_tokens_edited", "chars_reencoded")
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"reserved column names: {sorted(clash)}")
-    path = tokenizer or default_tokenizer()
+    docs = docs.drop(*_TREE)
+    path, names = tokenizer or default_tokenizer(), [c for c in docs.columns if c != text]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for b in batches:
-            rows = []
-            for x in b.column(text).to_pylist():
-                todo = edits(x) if x else []
-                if not todo:
-                    n = encoder.count(x or "")
-                    rows.append((n, 0, n, 0))
-                    continue
-                tree = TokenTree(x, encoder)
-                n = tree.count
-                for start, stop, new in reversed(todo):
-                    tree.edit(start, stop, new)
-                rows.append((n, len(todo), tree.count, tree.reencoded))
-            columns = [*zip(*rows, strict=True)] or [()] * 4
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*b.schema.names, *names])
-
-    return docs.mapInArrow(count, docs.withColumns({n: F.lit(0).cast("long") for n in names}).schema)
+            trees = [None if x is None else TokenTree(x, encoder) for x in b.column(text).to_pylist()]
+            leaves = pa.array([t and t.leaves for t in trees], pa.list_(pa.string()))
+            counts = pa.array([t and t.leaf_counts() for t in trees], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), leaves, counts], names=[*names, *_TREE])
+
+    kinds = {"leaves": F.lit(None).cast("array<string>"), "leaf_tokens": F.lit(None).cast("array<int>")}
+    return docs.mapInArrow(build, docs.drop(text).withColumns(kinds).schema)
+
+
+def edit_trees(trees: DataFrame, edits=redactions, tokenizer: str | None = None) -> DataFrame:
+    """``trees`` after the edits, with ``n_tokens`` (before), ``n_edits``, ``n_tokens_edited`` and ``chars_reencoded`` (long).
+
+    ``edits``: a function of a text that gives its edits (start, stop, new), in order and apart, or the name of a column of such
+    structs (null: none). They are applied from the right, so places hold. Columns named like the counts give way.
+    """
+    trees = trees.drop(*(c for c in _COUNTS if c != edits))
+    path, names = tokenizer or default_tokenizer(), trees.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path)
+        for b in batches:
+            out: list[list] = [[] for _ in (*_TREE, *_COUNTS)]
+            given = [None] * len(b) if callable(edits) else b.column(edits).to_pylist()
+            for leaves, counts, mine in zip(b.column("leaves").to_pylist(), b.column("leaf_tokens").to_pylist(), given, strict=True):
+                todo = edits("".join(leaves or [])) if callable(edits) else [(e["start"], e["stop"], e["new"]) for e in mine or []]
+                before, again = sum(counts or []), 0
+                if todo:
+                    tree = TokenTree.stored(leaves or [], counts or [], encoder)
+                    for start, stop, new in reversed(todo):
+                        tree.edit(start, stop, new)
+                    leaves, counts, again = tree.leaves, tree.leaf_counts(), tree.reencoded
+                for column, x in zip(out, (leaves, counts, before, len(todo), sum(counts or []), again), strict=True):
+                    column.append(x)
+            new = {"leaves": pa.array(out[0], pa.list_(pa.string())), "leaf_tokens": pa.array(out[1], pa.list_(pa.int32())), **{n: pa.array(x, pa.int64()) for n, x in zip(_COUNTS, out[2:], strict=True)}}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in (*names, *_COUNTS)], names=[*names, *_COUNTS])
+
+    return trees.mapInArrow(run, trees.withColumns({n: F.lit(0).cast("long") for n in _COUNTS}).schema)
+
+
+def count_tokens(docs: DataFrame, edits=redactions, text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """``docs`` with ``n_tokens``, ``n_edits``, ``n_tokens_edited`` and ``chars_reencoded`` (long), by trees that are stored and then edited.
+
+    ``edits`` gives a text's edits as (start, stop, new), in order and apart. Every row stays, with all its columns, repeated rows
+    too. Null and empty texts have no tokens and no edits. An empty table gives an empty result. Columns named like the new ones give way.
+    """
+    docs = docs.drop(*_COUNTS)
+    inner, _ = shielded(docs, text)
+    trees = written(docs.sparkSession, token_trees(inner, text, tokenizer), "token-trees")
+    done = edit_trees(trees.withColumn("leaves_before", F.col("leaves")), edits, tokenizer).withColumn(text, F.array_join("leaves_before", ""))
+    return done.select(*inner.columns, *_COUNTS).toDF(*docs.columns, *_COUNTS)
 
 
 def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
