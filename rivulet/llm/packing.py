@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, whole_text, written
+from .common import fresh, table, whole_text, written
 from .tokens import Encoder, default_tokenizer
 
 CAPACITY = 2048
@@ -188,34 +188,37 @@ class Places:
 
 
 def pack(spark: SparkSession, items: DataFrame, length: str = "length", order: list[str] | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` (both long) to ``items``: sequences of at most ``capacity``, offsets gapless from 0.
+    """Adds ``sequence_id``, ``offset`` (both long) and ``fewest`` (boolean) to ``items``: sequences of at most ``capacity``, offsets
+    gapless from 0. ``fewest``: the plan meets the lower bound, so no other has fewer sequences; else it is the best that the search found.
 
     ``items`` must read the same rows each time (a stored table). Lengths are 1 to ``capacity``. ``order``: columns that tell
-    items of one length apart; equal items are separate, and interchangeable. An empty table gives an empty result.
+    items of one length apart; equal items are separate, and interchangeable. An empty table gives an empty result. Columns
+    named sequence_id, offset or fewest give way.
     """
     order = order or [length]
-    clash = {"sequence_id", "offset", "_bucket", "_rank", "_start"} & set(items.columns)
-    if clash:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
+    items = items.drop("sequence_id", "offset", "fewest")
+    _bucket, _rank, _start = fresh(items, "_bucket", "_rank", "_start")
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bucketed = items.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = bucketed.groupBy(length, "_bucket").agg(F.count("*").alias("_n"))
+    bucketed = items.withColumn(_bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counts = bucketed.groupBy(length, _bucket).agg(F.count("*").alias("_n"))
     hist = {r[length]: r["n"] for r in counts.groupBy(length).agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
-    places = spark.sparkContext.broadcast(Places(complete(hist, capacity)))  # at most capacity**2 / 2 intervals
-    per_length = Window.partitionBy(length).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(length, "_bucket", F.coalesce(F.sum("_n").over(per_length), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(length, "_bucket").orderBy(*order)
-    ranked = bucketed.withColumn("_rank", F.row_number().over(inside) - 1).join(starts, [length, "_bucket"])
+    plan = complete(hist, capacity)
+    fewest = _bins(plan) <= lower_bound(hist, capacity)
+    places = spark.sparkContext.broadcast(Places(plan))  # at most capacity**2 / 2 intervals
+    per_length = Window.partitionBy(length).orderBy(_bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(length, _bucket, F.coalesce(F.sum("_n").over(per_length), F.lit(0)).alias(_start))
+    inside = Window.partitionBy(length, _bucket).orderBy(*order)
+    ranked = bucketed.withColumn(_rank, F.row_number().over(inside) - 1).join(starts, [length, _bucket])
 
     names = items.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rank = b.column("_rank").to_numpy(zero_copy_only=False) + b.column("_start").to_numpy(zero_copy_only=False)
+            rank = b.column(_rank).to_numpy(zero_copy_only=False) + b.column(_start).to_numpy(zero_copy_only=False)
             bins, offsets = places.value.find(b.column(length).to_numpy(zero_copy_only=False), rank)
-            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(bins), pa.array(offsets)], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(bins), pa.array(offsets), pa.array([fewest] * len(b), pa.bool_())], names=[*names, "sequence_id", "offset", "fewest"])
 
-    schema = items.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    schema = items.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "fewest": F.lit(True)}).schema
     return ranked.mapInArrow(place, schema)
 
 
@@ -265,7 +268,7 @@ def sequences(pieces: DataFrame, packed: DataFrame) -> DataFrame:
 
 def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("text"))
-    return pack_documents(spark, docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_documents(spark, docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fewest")
 
 
 QUERIES = {"op4_bin_completion": op4_bin_completion}
