@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, table, text_bytes, whole_text
+from .common import FOLD, shielded, table, text_bytes, whole_text
 
 #: Words are runs of digits, letters and anything beyond ASCII; all else in ASCII separates them.
 _SEPARATORS = bytes(x for x in range(128) if not (48 <= x <= 57 or 65 <= x <= 90 or 97 <= x <= 122))
@@ -149,11 +149,9 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
 
     Every row of ``docs`` is kept with all its columns, repeated rows too. Null and empty texts have no words. Items that are
     null or have no words match nothing; an item without an id marks words as hit but isn't named. Equal items under several
-    ids are all named. An empty test set leaves every document clean.
+    ids are all named. An empty test set leaves every document clean. Columns of ``docs`` named like the new ones give way.
     """
-    clash = {"n_words", "hit_spans", "hit_items"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
+    docs = docs.drop("n_words", "hit_spans", "hit_items")
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     out = docs.withColumns({"n_words": F.lit(None).cast("long"), "hit_spans": F.array().cast(kind), "hit_items": F.array().cast("array<string>")})
     schema = out.schema
@@ -198,8 +196,9 @@ def contamination_report(found: DataFrame, share: int = 20) -> dict[str, F.Colum
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, unchanged."""
-    found = find_contamination(spark, docs, benchmark)
-    return found.filter(~contamination_report(found)["contaminated"]).select(docs.columns)
+    inner, restore = shielded(docs, "text")
+    found = find_contamination(spark, inner, benchmark)
+    return restore(found.filter(~contamination_report(found)["contaminated"]))
 
 
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes, written
+from .common import fresh, shielded, table, text_bytes, written
 
 FIELD = b"<*>"
 #: Leading tokens that choose the leaf; stretches that the rest is cut into; lines of fewer tokens match only as they are.
@@ -243,20 +243,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text:
 
     Every row stays, with all its columns; texts without recurring lines are unchanged to the byte. Blank lines are never
     dropped. Null text stays null (no lines). Rows that repeat a doc_id are one document, as are rows without one; it holds
-    lines once or several times alike. An empty table gives an empty result.
+    lines once or several times alike. An empty table gives an empty result. Columns named n_lines or n_dropped give way.
     """
-    clash = {"n_lines", "n_dropped", "_drop", "_doc"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
+    docs = docs.drop("n_lines", "n_dropped")
+    _doc, _drop = fresh(docs, "_doc", "_drop")
     recurring = recurring_lines(spark, docs, doc, text)
-    gone = _lines(docs, doc, text, False).join(recurring, "h").filter("doc <> keep_doc").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("h").alias("_drop"))
-    marked = docs.withColumn("_doc", F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID))).join(gone, "_doc", "left").drop("_doc")
+    gone = _lines(docs, doc, text, False).join(recurring, "h").filter("doc <> keep_doc").groupBy(F.col("doc").alias(_doc)).agg(F.collect_set("h").alias(_drop))
+    marked = docs.withColumn(_doc, F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID))).join(gone, _doc, "left").drop(_doc)
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n, dropped = [], [], []
-            for x, drop in zip(b.column(text).to_pylist(), b.column("_drop").to_pylist(), strict=True):
+            for x, drop in zip(b.column(text).to_pylist(), b.column(_drop).to_pylist(), strict=True):
                 lines = [] if x is None else x.split("\n")
                 left = lines
                 if drop:
@@ -274,11 +273,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text:
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents after line dedup; those of which nothing but blank lines is left go. ``n_chars`` follows the text."""
-    done = dedup_lines(spark, docs).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    inner, restore = shielded(docs, "doc_id", "text", "n_chars")
+    done = dedup_lines(spark, inner).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         done = done.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return done.select(docs.columns)
+    return restore(done)
 
 
 def op1_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -530,3 +530,59 @@ def test_suffix_tree_against_a_plain_one(spark, limit, share):
     got = sorted((-1 if x["doc"] is None else x["doc"], x["n_tokens"], x["score"]) for x in suffix.score_texts(spark, df, limit=limit, share=share).collect())
     assert [x[:2] for x in got] == [x[:2] for x in want]
     assert max(abs(x[2] - y[2]) / x[1] for x, y in zip(got, want, strict=True)) < 1e-4
+
+
+def test_packing_by_search(spark):
+    """A table on which best-fit isn't the best: the search is entered and finds the fewest sequences."""
+    rows = [(i, n) for i, n in enumerate([6, 6, 5, 5, 5, 4, 4, 3, 2, 2] * 3)]
+    hist = Counter(n for _, n in rows)
+    assert sum(t for _, t in packing.best_fit(hist, 14)) > packing.lower_bound(hist, 14)
+    df = spark.createDataFrame([(i, n, 1, 2) for i, n in rows], "id long, length long, offset int, _rank int")
+    got = packing.pack(spark, df, "length", ["id"], 14).collect()
+    by = defaultdict(list)
+    for x in got:
+        by[x["sequence_id"]].append((x["offset"], x["length"]))
+    assert len(by) == packing.lower_bound(hist, 14) and all(x["fewest"] and x["_rank"] == 2 for x in got)
+    for parts in by.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 14
+
+
+def test_stored_trees_take_edits(spark):
+    """Trees from a table, edits from another: counts are those of the edited texts, and little is encoded again."""
+    encoder, r = tokens.Encoder(tokens.default_tokenizer()), random.Random(12)
+    texts = {i: " ".join(r.choice(WORDS) for _ in range(r.choice([0, 3, 40, 3000]))) for i in range(40)}
+    edits, want = [], {}
+    for i, t in texts.items():
+        cuts = sorted(r.sample(range(len(t) + 1), 4)) if len(t) > 4 else []
+        mine = [(a, b, r.choice(["", "x y", " NEW "])) for a, b in zip(cuts[::2], cuts[1::2], strict=True)] if i % 3 else []
+        for a, b, new in reversed(mine):
+            t = t[:a] + new + t[b:]
+        edits.append((i, [(a, min(b, a + 9), new) for a, b, new in mine]))
+        want[i] = t
+    whole = {}
+    for i, mine in edits:
+        t = texts[i]
+        for a, b, new in reversed(mine):
+            t = t[:a] + new + t[b:]
+        whole[i] = t
+    trees = counting.token_trees(spark.createDataFrame([*texts.items(), (None, None)], "doc_id long, text string"))
+    both = trees.join(spark.createDataFrame(edits, "doc_id long, edits array<struct<start:long,stop:long,new:string>>"), "doc_id", "left")
+    got = {x["doc_id"]: x for x in counting.edit_trees(both, "edits").collect()}
+    assert {i: "".join(got[i]["leaves"]) for i in texts} == whole and got[None]["leaves"] is None and got[None]["n_tokens"] == 0
+    assert all(got[i]["n_tokens"] == encoder.count(texts[i]) and got[i]["n_tokens_edited"] == encoder.count(whole[i]) == sum(got[i]["leaf_tokens"]) for i in texts)
+    assert all(x["chars_reencoded"] < 4000 for x in got.values())
+
+
+@pytest.mark.parametrize("names", [("score", "n_lines", "n_words", "_key", "offset"), ("Predicted", "_drop", "hit_spans", "_doc", "sequence_id"), ("n_dropped", "hit_items", "_bucket", "_rank", "_id")])
+def test_stages_with_clashing_names(spark, names):
+    """Stages return the columns of documents whatever they are called."""
+    import corpus_pipeline
+
+    rows = [(d, t, "en", "s", 0, *range(len(names))) for d, t in corpus()[:30]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    items = spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string")
+    for done in (lines.drop_recurring_lines(spark, docs), neardup.keep_one(spark, docs), decontaminate.drop_contaminated(spark, docs, items), quality.keep_good(spark, docs, spark.createDataFrame([], "doc_id long, quality int"))):
+        assert done.columns == docs.columns
+        assert done.filter(" OR ".join(f"`{n}` <> {i}" for i, n in enumerate(names))).isEmpty() and not done.isEmpty()
+    assert not corpus_pipeline.best_fit_packing(spark, docs, "").isEmpty()
+    assert counting.count_tokens(docs).count() == len(rows)
