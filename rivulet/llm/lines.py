@@ -33,6 +33,8 @@ LEADING, STRETCHES, SHORTEST = 3, 5, 8
 AGREE = 80
 #: Tokens of a leaf that are compared in one task.
 CELLS = 1 << 21
+#: A line that is one in so many occurrences is dealt out to ``SALTS`` tasks where documents are looked up.
+COMMON, SALTS = 1000, 64
 #: Stands for a null doc_id, so that those rows count as one document.
 NO_ID = -(2**63)
 _DIGIT = re.compile(rb"[0-9]")
@@ -95,13 +97,13 @@ def settle(first: np.ndarray, lines: np.ndarray) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, doc: str, text: str, leaves: bool) -> DataFrame:
-    """doc and h of each line that isn't blank, and its number of tokens and leaf if asked."""
-    names = ["doc", "h", *(["n", "leaf"] if leaves else [])]
+    """doc and h of each line that isn't blank, th (a hash of the whole text), and its number of tokens and leaf if asked."""
+    names = ["doc", "h", *(["n", "leaf"] if leaves else ["th"])]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[list] = [[] for _ in names]
-            for d, x in zip(b.column("doc").to_pylist(), text_bytes(b.column("text")), strict=True):
+            for d, th, x in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), text_bytes(b.column("text")), strict=True):
                 for line in x.split(b"\n"):
                     if t := tokens_of(line):
                         rows[0].append(d)
@@ -109,9 +111,11 @@ def _lines(docs: DataFrame, doc: str, text: str, leaves: bool) -> DataFrame:
                         if leaves:
                             rows[2].append(len(t))
                             rows[3].append(leaf_key(t))
+                        else:
+                            rows[2].append(th)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=names)
 
-    source = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
+    source = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
     return source.mapInArrow(split, ", ".join(f"{n} long" for n in names))
 
 
@@ -210,10 +214,14 @@ def _met(lines: DataFrame, stays: DataFrame, sizes: DataFrame, cells: int) -> Da
     return both.mapInArrow(run, f"{_KIND}, keep_doc long")
 
 
-def recurring_lines(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str = "text", cells: int = CELLS) -> DataFrame:
-    """Lines that occur in several documents or join a template of an earlier one: ``h`` (key of the line) and ``keep_doc``, where the line or its template stays."""
-    distinct = _lines(docs, doc, text, True).groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.first("n").alias("n"), F.first("leaf").alias("leaf"))
+def recurring_lines(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str = "text", cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
+    """Lines that occur in several documents or join a template of an earlier one: ``h`` (key of the line) and ``keep_doc``, where the line
+    or its template stays. And the common ones: ``h`` of lines that are one in ``COMMON`` of all occurrences, so no more than that many.
+    """
+    distinct = _lines(docs, doc, text, True).groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.first("n").alias("n"), F.first("leaf").alias("leaf"), F.count("*").alias("times"))
     known = written(spark, distinct, "lines")
+    all_lines = known.agg(F.sum("times").alias("n")).first()["n"] or 0
+    common = known.filter(F.col("times") > F.lit(all_lines // COMMON)).filter("first <> last").select("h")
     equal = known.filter("first <> last").select("h", F.col("first").alias("keep_doc"))
     busy = known.filter("leaf IS NOT NULL").groupBy("leaf").agg(F.min("first").alias("_a"), F.max("first").alias("_b")).filter("_a <> _b").select("leaf")
     wanted = written(spark, known.join(busy, "leaf").select("h", "leaf", "n", "first"), "leaf-keys")
@@ -235,7 +243,7 @@ def recurring_lines(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", t
     out = equal
     for x in [*joined, _settled(left).filter("keep_doc <> first")]:
         out = out.unionByName(x.select("h", "keep_doc"))
-    return out.groupBy("h").agg(F.min("keep_doc").alias("keep_doc"))
+    return out.groupBy("h").agg(F.min("keep_doc").alias("keep_doc")), common
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,10 +254,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text:
     lines once or several times alike. An empty table gives an empty result. Columns named n_lines or n_dropped give way.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    _doc, _drop = fresh(docs, "_doc", "_drop")
-    recurring = recurring_lines(spark, docs, doc, text)
-    gone = _lines(docs, doc, text, False).join(recurring, "h").filter("doc <> keep_doc").groupBy(F.col("doc").alias(_doc)).agg(F.collect_set("h").alias(_drop))
-    marked = docs.withColumn(_doc, F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID))).join(gone, _doc, "left").drop(_doc)
+    _doc, _th, _drop = fresh(docs, "_doc", "_th", "_drop")
+    recurring, common = recurring_lines(spark, docs, doc, text)
+    common = F.broadcast(common.withColumn("common", F.lit(True)))  # COMMON rows at most
+    every = F.explode(F.when(F.col("common"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    salted = recurring.join(common, "h", "left").select("h", "keep_doc", every.alias("salt"))
+    salt = F.when(F.col("common"), F.pmod(F.xxhash64("doc", "th"), F.lit(SALTS)).cast("int")).otherwise(0)
+    found = _lines(docs, doc, text, False).join(common, "h", "left").withColumn("salt", salt).join(salted, ["h", "salt"]).filter("doc <> keep_doc")
+    # By text as well as by id, so that an id that many rows have, or rows without one, are no group of their own.
+    gone = found.groupBy(F.col("doc").alias(_doc), F.col("th").alias(_th)).agg(F.collect_set("h").alias(_drop))
+    marked = docs.withColumns({_doc: F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)), _th: F.xxhash64(F.col(text))}).join(gone, [_doc, _th], "left").drop(_doc, _th)
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
