@@ -5,8 +5,8 @@ k + w - 1 = 13, any 13 words that a document shares with an item select the same
 13 words is missed. A fingerprint that meets one of the test set is a hit, which is verified and extended word by word to
 the longest common span; spans of 13 words or more count. Items of fewer words are one window each and are looked up whole.
 
-The test set travels to the documents in blocks of bounded bytes: each block is one more narrow pass over the documents, so
-nothing is shuffled, and no broadcast exceeds a block however large the test set is.
+The test set travels to the documents in blocks of bounded bytes, dealt by hash: the driver holds one block at a time, and each
+block is a narrow pass over the documents, stored before the next one, so no worker holds two either and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLD, shielded, table, text_bytes, whole_text
+from ..plans.store import release
+from .common import FOLD, shielded, table, text_bytes, whole_text, written
 
 #: Words are runs of digits, letters and anything beyond ASCII; all else in ASCII separates them.
 _SEPARATORS = bytes(x for x in range(128) if not (48 <= x <= 57 or 65 <= x <= 90 or 97 <= x <= 122))
@@ -74,13 +75,14 @@ class TestBlock:
         self.span, self.k, self.w = span, k, span - k + 1
         self.names, self.vocabulary, self.texts = [], {}, []
         entries, self.short = [], {}
+        alike: dict[tuple[bytes, ...], list] = {}  # items of equal words are one text with several names
         for name, text in items:
-            words = words_of(text)
-            if not words:
-                continue
+            if words := words_of(text):
+                alike.setdefault(tuple(words), []).append(name)
+        for words, names in alike.items():
             ids = np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words], np.int64)
             i = len(self.names)
-            self.names.append(name)
+            self.names.append([x for x in names if x is not None])
             self.texts.append(ids)
             if len(ids) < span:
                 self.short.setdefault(len(ids), {}).setdefault(ids.tobytes(), []).append(i)
@@ -131,17 +133,13 @@ class TestBlock:
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[object, bytes]]]:
-    """The test set in blocks of at most ``most`` bytes of text, or one item."""
-    block, size = [], 0
-    for row in benchmark.select(F.col(item).cast("string").alias("item"), whole_text(text).alias("text")).toLocalIterator():
-        x = row["text"].encode()
-        if block and size + len(x) > most:
-            yield block
-            block, size = [], 0
-        block.append((row["item"], x))
-        size += len(x)
-    if block:
-        yield block
+    """The test set in blocks of about ``most`` bytes of text, or one item; one at a time."""
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), whole_text(text).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long") + 1).alias("n")).first()["n"] or 0
+    n = max(1, -(-size // most))
+    for k in range(n):
+        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+        yield [(r["item"], r["text"].encode()) for r in part.collect()]
 
 
 def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -156,7 +154,13 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
     out = docs.withColumns({"n_words": F.lit(None).cast("long"), "hit_spans": F.array().cast(kind), "hit_items": F.array().cast("array<string>")})
     schema = out.schema
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    for items in [*_blocks(benchmark, item, text, block_bytes)] or [[]]:
+    stored: list[DataFrame] = []
+    for turn, items in enumerate(_blocks(benchmark, item, text, block_bytes)):
+        if turn:  # the pass before this one ends here
+            stored.append(written(spark, out, "contamination"))
+            out = stored[-1]
+            release(*stored[:-1])
+            del stored[:-1]
         sent = spark.sparkContext.broadcast(items)
 
         def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -175,7 +179,7 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
                             merged.append([a, z])
                     counts.append(len(words))
                     spans.append([{"start": a, "stop": z} for a, z in merged])
-                    names.append(sorted({*told, *(block.names[i] for i in found if block.names[i] is not None)}))
+                    names.append(sorted({*told, *(x for i in found for x in block.names[i])}))
                 done = {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, spans_type), "hit_items": pa.array(names, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([done.get(n, b.column(n)) for n in b.schema.names], names=b.schema.names)
 
