@@ -40,7 +40,7 @@ STAGES = [
     ("benchmark decontamination", benchmark_decontamination),
     ("best-fit packing", best_fit_packing),
 ]
-#: The classifier is learned, the tree's similarity joins and the tokenizer aren't SQL: tests run the stages against brute force.
+#: The classifier is learned, the tree's similarity joins and the tokenizer aren't SQL: tests plant rows that each stage must drop or keep.
 ORACLE_SQL = None
 
 

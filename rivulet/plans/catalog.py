@@ -790,7 +790,7 @@ def error_pages(spark, sf):
 
 @query()
 def resolve_batch(spark, sf):
-    """All part labels against the catalogued names: exact, alias, prefix, similarity, or a new entity. Tests hold it against a sequential resolver."""
+    """All part labels against the catalogued names: exact, alias, prefix, similarity, or a new entity. ``resolve_cascade`` does the same on mentions whose outcome SQL can tell."""
     from ..operators.resolve import resolve_batch as run
 
     p = T.read(spark, sf, "part")
