@@ -301,4 +301,4 @@ def op1_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_template_tree": op1_template_tree}
-ORACLES: dict[str, str] = {}  # DuckDB has no such hash tree at whole tables' speed; tests compare with a plain one
+ORACLES: dict[str, str] = {}  # DuckDB has no such hash tree at whole tables' speed; tests compare with a plain loop over lines
