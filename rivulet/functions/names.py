@@ -61,8 +61,10 @@ def split_type_tag(raw: Column) -> tuple[Column, Column]:
 
 def fold(c: Column) -> Column:
     """Upper case without accents, full-width forms and other variants as plain letters, Latin ligatures spelled out."""
+    spelled = c
     for a, b in LIGATURES.items():
-        c = F.replace(c, F.lit(a), F.lit(b))
+        spelled = F.replace(spelled, F.lit(a), F.lit(b))
+    c = F.when(c.rlike(f"[{''.join(LIGATURES)}]"), spelled).otherwise(c)
     return F.translate(F.regexp_replace(F.upper(c), r"[\x{0300}-\x{036F}]", ""), ACCENTED, PLAIN)
 
 
