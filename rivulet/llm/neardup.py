@@ -6,9 +6,9 @@ chance that its similarity reaches the threshold falls below ``MISS`` (the simil
 after m of n matches is Beta(1 + m, 1 + n - m)). Survivors are verified on their full shingle sets.
 
 Only the components are wanted, so a band isn't paired out. First each node meets the smallest node of all its bands, then,
-among those it is still apart from, the one it shares most bands with. Where that leaves several components in a band, its nodes are compared across
-components in tiles, first by signatures and then by full sets, and of the pairs found only those come out that join components;
-pairs inside a component need no comparison.
+among those it is still apart from, the one it shares most bands with. Where that leaves several components in a band of two nodes, that pair is
+compared unless it was; in a larger band, its nodes are compared across components in tiles, first by signatures and then by full sets,
+and of the pairs found only those come out that join components; pairs inside a component need no comparison.
 With 48 bands of 6 rows a pair of similarity 0.8 shares no band with a chance of 5e-7.
 """
 
@@ -315,21 +315,29 @@ def _grouped(spark: SparkSession, docs: DataFrame, doc: str, text: str, width: i
     links = confirm(met)
     found = components(links)
     apart = components_of(components_of(shared.filter("id <> a").select("a", F.col("id").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times")), "a", "ca"), "b", "cb").filter("ca <> cb")
-    more = confirm(apart.groupBy("b").agg(F.max(F.struct("times", "a")).alias("_best")).select(F.col("_best.a").alias("a"), "b").join(met, ["a", "b"], "left_anti"))
+    second = apart.groupBy("b").agg(F.max(F.struct("times", "a")).alias("_best")).select(F.col("_best.a").alias("a"), "b").join(met, ["a", "b"], "left_anti")
+    second = written(spark, second, "second")
+    more = confirm(second)
     if not more.isEmpty():
         links = links.unionByName(more)
         found = components(links)
-    # Bands that still hold several components: pairs across components, by signatures and sets, in tiles.
+    # Bands that still hold several components: of two nodes, the pair if it wasn't tried; of more, pairs across components, by signatures and sets, in tiles.
     labelled = components_of(shared, "id", "comp").select("band", "a", "id", "comp")
-    open_bands = labelled.groupBy("band").agg(F.min("comp").alias("_c0"), F.max("comp").alias("_c1"), F.count("*").alias("_size")).filter("_c0 <> _c1 AND _size > 2").select("band")
-    entries = written(spark, labelled.join(open_bands, "band").select("a", "id", "comp").distinct(), "open-bands")
+    open_bands = labelled.groupBy("band").agg(F.min("comp").alias("_c0"), F.max("comp").alias("_c1"), F.count("*").alias("_size"), F.min("a").alias("a"), F.max("id").alias("b")).filter("_c0 <> _c1")
+    open_bands = written(spark, open_bands.select("band", "a", "b", "_size"), "open")
+    last = open_bands.filter("_size = 2").select("a", "b").distinct().join(met.unionByName(second), ["a", "b"], "left_anti")
+    entries = written(spark, labelled.join(open_bands.filter("_size > 2").select("band"), "band").select("a", "id", "comp").distinct(), "open-bands")
+    more = confirm(last)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = components(links)
     if not entries.isEmpty():
         more = _across(spark, entries, nodes, docs, doc, text, width, percent, tile)
         if not more.isEmpty():
             links = links.unionByName(more)
             found = components(links)
         release(more)
-    release(entries, shared, met, *tried, *confirmed)
+    release(entries, open_bands, shared, met, second, *tried, *confirmed)
     roots = nodes.select("key", "id", "doc").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     return signed, roots
 

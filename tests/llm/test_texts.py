@@ -586,3 +586,15 @@ def test_stages_with_clashing_names(spark, names):
         assert done.filter(" OR ".join(f"`{n}` <> {i}" for i, n in enumerate(names))).isEmpty() and not done.isEmpty()
     assert not corpus_pipeline.best_fit_packing(spark, docs, "").isEmpty()
     assert counting.count_tokens(docs).count() == len(rows)
+
+
+def test_near_duplicates_in_bands_of_two(spark):
+    """A text of several partners that are unlike each other: bands that hold only it and one of them are all looked into."""
+    rows = []
+    for n, seed in enumerate([685, 952]):  # the whole text is the last node of its bands and shares most with two partners
+        r = random.Random(seed)
+        words = [f"w{r.randrange(10**9)}" for _ in range(15)]
+        rows += [(4 * n + k, " ".join(w for j, w in enumerate(words) if not 3 * k <= j < 3 * k + 3)) for k in range(3)] + [(4 * n + 3, " ".join(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc"]: r["component"] for r in neardup.near_duplicates(spark, df, width=1).collect()}
+    assert got == {i: i - i % 4 for i, _ in rows}
