@@ -598,3 +598,15 @@ def test_near_duplicates_in_bands_of_two(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc"]: r["component"] for r in neardup.near_duplicates(spark, df, width=1).collect()}
     assert got == {i: i - i % 4 for i, _ in rows}
+
+
+def test_quality_learns_from_every_label(spark):
+    """Mean, weights and threshold are those of all labelled rows, however many there are and whichever way texts meet labels."""
+    rows = [(i, f"w{i} " * (1 + i % 3) + ("!" if i % 2 else ""), int(i % 5 > 0)) for i in range(20_400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    x = np.array([quality.features(t.encode()) for _, t, _ in rows])
+    want = quality.fit(x, np.array([y for _, _, y in rows]))
+    for options in ({}, {"few": 30_000}):
+        got = quality.fit_ranker(spark, df.select("doc_id", "text"), df.select("doc_id", "quality"), few=options.get("few", 0))
+        assert np.allclose(got.mean, x.mean(0), atol=1e-11) and np.allclose(got.weights, want.weights, atol=1e-8)
+        assert abs(got.threshold - np.quantile(got.worth(x), 0.2)) < 1e-9
