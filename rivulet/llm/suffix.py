@@ -13,8 +13,9 @@ packed arrays, a row for each chunk and shard. A shard has all pairs and triples
 
 A context of ``limit`` occurrences or more is hot: its pairs are split over many shards by the next word. Each shard tells every
 chunk its sums of size, kinds and gain beside the plain counts, and the chunk adds them up, so a hot context has the same
-distribution and test as any other. Two-word contexts that end in a hot word are split by their first word, where their
-parent's part of the test is estimated from the slice's occurrences.
+distribution and test as any other. Two-word contexts that end in a hot word are split by their first word. Their parent's part
+of the test takes the hot word's pairs and sums of all slices, which the slices by word tell those by first word beforehand, so
+what is hot changes no result. (With ``exact=False`` it is estimated from the slice's occurrences instead.)
 
 The base probability of a word in the test comes from a count sketch of fixed size, the lesser of two cells; it is the word's own
 unless both cells are shared. Scores use true counts alone.
@@ -169,12 +170,13 @@ class Chunk:
 
 
 def gram(two: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """The name of a context of two words."""
-    return _mix(two + _mix(one) * _U(0x9E3779B97F4A7C15))
+    """The name of a context of two words, of which the first counts by the 24 bits that a triple has of it."""
+    return _mix((_mix(two) >> _U(40)) + _mix(one) * _U(0x9E3779B97F4A7C15))
 
 
 def _slice(x: np.ndarray, slices: np.ndarray) -> np.ndarray:
-    return (_mix(x ^ _U(0xA5A5A5A5)) >> _U(40)) & (slices - 1).astype(_U)
+    """Of first words, by the 24 bits that a triple has of them: words that are one in a whole context are one in its slices."""
+    return (_mix(_mix(x) >> _U(40) ^ _U(0xA5A5A5A5)) >> _U(40)) & (slices - 1).astype(_U)
 
 
 class Hot:
@@ -184,16 +186,20 @@ class Hot:
         order = np.argsort(names)
         self.names, self.counts = names[order], counts[order].astype(np.int64)
         self.slices = np.array([1 << (int(c) // limit).bit_length() for c in self.counts], np.int64)
-        part = [(int(_mix(np.array([h ^ _mix(np.array([t + 1], _U))[0]], _U))[0] >> _U(24)), j) for j, h in enumerate(self.names) for t in range(self.slices[j])]
-        part.sort()
-        self.part, self.part_of = np.array([x for x, _ in part], _U), np.array([j for _, j in part], np.int64)
+        self.part, self.part_of = self._parts(1)
+        self.first, self.first_of = self._parts(1 << 40)
+
+    def _parts(self, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (40 bits) of all slices, sorted, and whose they are."""
+        part = sorted((int(_mix(np.array([h ^ _mix(np.array([t + salt], _U))[0]], _U))[0] >> _U(24)), j) for j, h in enumerate(self.names) for t in range(self.slices[j]))
+        return np.array([x for x, _ in part], _U), np.array([j for _, j in part], np.int64)
 
     def find(self, names: np.ndarray) -> np.ndarray:
         """The place of each name, -1 for those that aren't hot."""
         return _find(self.names, names)
 
     def by_word(self, h: np.ndarray, place: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return _mix(h ^ _mix(_slice(word, self.slices[place]) + _U(1)))
+        return _mix(h ^ _mix(((_mix(word >> _U(32)) >> _U(40)) & (self.slices[place] - 1).astype(_U)) + _U(1)))
 
     def by_first(self, h: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
         return _mix(h ^ _mix(_slice(first, self.slices[place]) + _U(1 << 40)))
@@ -203,6 +209,11 @@ class Hot:
         at = _find(self.part, contexts)
         return np.where(at >= 0, self.part_of[at], -1) if len(self.part) else at
 
+    def of_first(self, contexts: np.ndarray) -> np.ndarray:
+        """The same for slices by first word."""
+        at = _find(self.first, contexts)
+        return np.where(at >= 0, self.first_of[at], -1) if len(self.first) else at
+
 
 def _find(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     if not len(names):
@@ -258,14 +269,18 @@ def _cuts(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
     return np.searchsorted(keys >> _U(64 - bits), np.arange(shards + 1).astype(_U)) if bits else np.array([0, len(keys)])
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str = "text", share: int = SHARE, limit: int = LIMIT) -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text: str = "text", share: int = SHARE, limit: int | None = None, exact: bool | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc``, ``held_out`` boolean, ``n_tokens``, ``n_known``, ``train_tokens`` (long), ``base_score`` and ``score`` (double).
 
     ``docs`` must give the same rows in the same partitions each time it is read (a table does). Every row gives one row, repeated
     rows too. A null text is empty; an empty text has its end alone. A null id counts as the empty text in the fold. Scores are
     sums of log10 probabilities; with no training rows the base knows no token. An empty table gives an empty result. Other
     columns are ignored.
+
+    ``limit``: occurrences from which a context is split (``LIMIT``). ``exact``: it changes no score; that is so unless a caller
+    names a limit of its own, and then if asked for.
     """
+    exact, limit = limit is None if exact is None else exact, LIMIT if limit is None else limit
     source = docs.select(F.col(doc).cast("long").alias("doc"), whole_text(text).alias("text"))
     volume = source.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = min(24, max(0, (int(volume) // share).bit_length()))
@@ -336,7 +351,50 @@ def score_texts(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text:
                 longer=[zstandard.compress(longer[:, i:j].tobytes(), 1) for i, j in triples], longer_counts=[_pack(c.triple_counts[i:j]) for i, j in triples],
             )
 
-    def answer_pairs(t: pa.Table) -> pa.Table:
+    def base_of(word32: np.ndarray) -> np.ndarray:
+        cells = _cells(word32)
+        sketch = np.frombuffer(zstandard.decompress(told_sketch.value), np.float16).reshape(2, -1)
+        return (np.expm1(np.minimum(sketch[0][cells[0]], sketch[1][cells[1]]).astype(np.float64)) + 0.5) / (tokens + 0.5 * (kinds + 1))
+
+    def tell_hot(t: pa.Table) -> pa.Table:
+        """For each hot context with a slice here, to each shard with a slice of it: the slices' sums, and to slices by first word the pairs seen twice or more."""
+        out: dict[str, list] = {x: [] for x in ("shard", "hot", "sums", "words", "times")}
+        home = lambda x: x >> _U(40 - bits) if bits else x * _U(0)
+        if (home(hot.part) == _U(t["shard"][0].as_py())).any():
+            keys = [np.cumsum(_unpack(x, "<u8"), dtype=_U) for x in t["keys"].to_pylist()]
+            key, low, count = np.concatenate(keys), *(np.concatenate([_unpack(x, kind) for x in t[n].to_pylist()]) for n, kind in (("lows", "u1"), ("counts", "<u4")))
+            of = hot.of(key >> _U(24))
+            at = np.flatnonzero((of >= 0) & (count > 0))
+            pair, which = np.unique((of[at].astype(_U) << _U(32)) | (key[at] & _U(0xFFFFFF)) << _U(8) | low[at], return_inverse=True)
+            times, of, word = np.bincount(which, count[at], len(pair)), (pair >> _U(32)).astype(np.int64), pair & _U(0xFFFFFFFF)
+            base = base_of(word)
+            for j in np.unique(of):
+                mine = of == j
+                sums = np.concatenate(_sums(np.zeros(mine.sum(), np.int64), times[mine], base[mine])).astype(np.float64).tobytes()
+                again = mine & (times > 1)
+                words, counts = _pack(np.diff(word[again], prepend=_U(0)).astype(np.uint32)), _pack(times[again].astype(np.uint32))
+                by_first = set(home(hot.first[hot.first_of == j]).tolist())
+                for to in by_first | set(home(hot.part[hot.part_of == j]).tolist()):
+                    for name, x in (("shard", to), ("hot", int(j)), ("sums", sums), ("words", words if to in by_first else None), ("times", counts if to in by_first else None)):
+                        out[name].append(x)
+        return pa.table([pa.array(x, k) for x, k in zip(out.values(), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=list(out))
+
+    def exact_parent(told: pa.Table, of: np.ndarray, by_first: np.ndarray, word: np.ndarray, c1: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """The share in hot context ``of`` with one occurrence left out, or the base; in slices by first word, ``c1`` counts a part of the occurrences alone."""
+        told_of = np.array(told["hot"].to_pylist(), np.int64)
+        sums = np.array([np.frombuffer(x, np.float64) for x in told["sums"].to_pylist()]).reshape(-1, 4)
+        size, many, once, again = (np.bincount(told_of, x, len(hot.names)) for x in sums.T)
+        keep = (size > 1) & (left_out(size, many, once, again) > DIVERGENCE)
+        pairs = [np.zeros(0, _U), *((_U(j) << _U(32)) | np.cumsum(_unpack(w, "<u4"), dtype=_U) for j, w in zip(told_of, told["words"].to_pylist(), strict=True) if w is not None)]
+        times = np.concatenate([np.zeros(0, np.uint32), *(_unpack(x, "<u4") for x in told["times"].to_pylist() if x is not None)])
+        pairs = np.concatenate(pairs)
+        order = np.argsort(pairs)
+        at = _find(pairs[order], (of.astype(_U) << _U(32)) | word)
+        all1 = np.where(by_first, np.where(at >= 0, times[order][at], 1) if len(times) else 1, c1)
+        loo = (np.maximum(all1 - 1 - DISCOUNT, 0) + DISCOUNT * (many[of] - (all1 == 1)) * base) / np.maximum(size[of] - 1, 1)
+        return np.where(keep[of] & (loo > 0), loo, base)
+
+    def answer_pairs(t: pa.Table, hot_told: pa.Table | None = None) -> pa.Table:
         load = lambda name, kind: [_unpack(x, kind) for x in t[name].to_pylist()]
         keys = [np.cumsum(x, dtype=_U) for x in load("keys", "<u8")]
         sizes, d = [len(k) for k in keys], DISCOUNT
@@ -346,9 +404,8 @@ def score_texts(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text:
         key, low = key[first], low[first]
         name, ctx = np.unique(key >> _U(24), return_inverse=True)
         hot1 = hot.of(name)  # of each context: the hot one that it is a slice of
-        cells = _cells((key & _U(0xFFFFFF)) << _U(8) | low)
-        sketch = np.frombuffer(zstandard.decompress(told_sketch.value), np.float16).reshape(2, -1)
-        base = (np.expm1(np.minimum(sketch[0][cells[0]], sketch[1][cells[1]]).astype(np.float64)) + 0.5) / (tokens + 0.5 * (kinds + 1))
+        word = (key & _U(0xFFFFFF)) << _U(8) | low
+        base = base_of(word)
         sums1 = size1, kinds1, _, _ = _sums(ctx, c1, base)
         keep1 = ((size1 > 1) & (left_out(*sums1) > DIVERGENCE))[ctx]
         a1 = np.where(keep1, np.maximum(c1 - d, 0) / np.maximum(size1[ctx], 1), 0)
@@ -358,7 +415,11 @@ def score_texts(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text:
         # A word's parent in the test of longer contexts: the pair's share with one occurrence left out, or the base.
         loo1 = (np.maximum(c1 - 1 - d, 0) + d * (kinds1[ctx] - (c1 == 1)) * base) / np.maximum(size1[ctx] - 1, 1)
         parent = np.where(keep1 & (loo1 > 0), loo1, base)
-        if split1.any():  # within a slice the context's own size is known, its kinds are not
+        if hot_told is not None:
+            first1 = np.where(split1, -1, hot.of_first(name)[ctx])
+            at = np.flatnonzero(split1 | (first1 >= 0))
+            parent[at] = exact_parent(hot_told, np.where(split1, hot1[ctx], first1)[at], ~split1[at], word[at], c1[at], base[at])
+        elif split1.any():  # within a slice the context's own size is known, its kinds are not
             parent = np.where(split1, np.where(c1 > 1, np.maximum(c1 - 1 - d, 1e-9) / np.maximum(hot.counts[hot1[ctx]] - 1, 1), base), parent)
 
         raw = [np.frombuffer(zstandard.decompress(x), np.uint8).reshape(3, -1).astype(_U) for x in t["longer"].to_pylist()]
@@ -419,7 +480,12 @@ def score_texts(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text:
         })
 
     pairs = source.mapInArrow(ask_pairs, "shard int, chunk long, keys binary, lows binary, counts binary, fan binary, longer binary, longer_counts binary")
-    answers = pairs.groupBy("shard").applyInArrow(answer_pairs, "chunk long, shard int, a1 binary, b1 binary, a2 binary, b2 binary, slices binary")
+    answered = "chunk long, shard int, a1 binary, b1 binary, a2 binary, b2 binary, slices binary"
+    if exact and len(hot.names):  # the pairs are dealt out once and read twice
+        told_hot = pairs.groupBy("shard").applyInArrow(tell_hot, "shard int, hot int, sums binary, words binary, times binary")
+        answers = pairs.groupBy("shard").cogroup(told_hot.groupBy("shard")).applyInArrow(lambda t, h: answer_pairs(t, h), answered)
+    else:
+        answers = pairs.groupBy("shard").applyInArrow(lambda t: answer_pairs(t), answered)
     told = answers.unionByName(words.filter("chunk IS NOT NULL").select("chunk", "shard", "counts"), allowMissingColumns=True)
     own = source.mapInArrow(carry, "chunk long, docs array<long>, sizes binary, texts binary")
     return own.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, "doc long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -610,3 +610,21 @@ def test_quality_learns_from_every_label(spark):
         got = quality.fit_ranker(spark, df.select("doc_id", "text"), df.select("doc_id", "quality"), few=options.get("few", 0))
         assert np.allclose(got.mean, x.mean(0), atol=1e-11) and np.allclose(got.weights, want.weights, atol=1e-8)
         assert abs(got.threshold - np.quantile(got.worth(x), 0.2)) < 1e-9
+
+
+def test_suffix_tree_does_not_depend_on_what_is_hot(spark):
+    """Splitting contexts changes no score: contexts that end in a hot word are tested against that word's true distribution."""
+    r = random.Random(29)
+    after = {"the": ["cat", "dog", "end", "river"], "a": ["cat", "stone"]}
+    rows = []
+    for i in range(170):
+        words = ["the"]
+        while len(words) < r.randint(2, 40):
+            words.append(r.choice(after.get(words[-1], ["the", "a", "of the", "in a", f"w{r.randrange(60)}", "the"])))
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+    want = plain_scores(rows, 1 << 22)[0]
+    assert max(abs(x[2] - y[2]) / x[1] for x, y in zip(want, plain_scores(rows, 40)[0], strict=True)) > 0.01  # the estimate would show
+    for options in ({"limit": 40, "exact": True, "share": 3000}, {"limit": 150, "exact": True}, {}):
+        got = sorted((x["doc"], x["n_tokens"], x["score"]) for x in suffix.score_texts(spark, df, **options).collect())
+        assert max(abs(x[2] - y[2]) / x[1] for x, y in zip(got, want, strict=True)) < 1e-4
