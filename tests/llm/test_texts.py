@@ -628,3 +628,23 @@ def test_suffix_tree_does_not_depend_on_what_is_hot(spark):
     for options in ({"limit": 40, "exact": True, "share": 3000}, {"limit": 150, "exact": True}, {}):
         got = sorted((x["doc"], x["n_tokens"], x["score"]) for x in suffix.score_texts(spark, df, **options).collect())
         assert max(abs(x[2] - y[2]) / x[1] for x, y in zip(got, want, strict=True)) < 1e-4
+
+
+def test_pipeline_learns_from_every_label(spark, tmp_path, monkeypatch):
+    """The stage's ranker has the mean, weights and threshold of all labelled rows that aren't held out, more than 20000 here."""
+    import corpus_pipeline
+
+    rows = [(i, f"w{i} " * (1 + i % 3) + ("!" if i % 2 else ""), int(i % 5 > 0)) for i in range(27_400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    df.select("doc_id", "quality").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = []
+    monkeypatch.setattr(quality, "score_documents", lambda s, d, ranker, *a, f=quality.score_documents, **b: seen.append(ranker) or f(s, d, ranker, *a, **b))
+    kept = {r["doc_id"] for r in corpus_pipeline.quality_classifier(spark, df.select("doc_id", "text"), str(tmp_path)).collect()}
+    learned = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    x = np.array([quality.features(t.encode()) for t, _ in learned])
+    want = quality.fit(x, np.array([y for _, y in learned]))
+    assert len(learned) > 20_000 and np.allclose(seen[0].mean, x.mean(0), atol=1e-11)
+    assert np.allclose(seen[0].weights, want.weights, atol=1e-8) and abs(seen[0].threshold - want.threshold) < 1e-8
+    sure = [(i, quality.features(t.encode())) for i, t, _ in rows]
+    worth = want.worth(np.array([f for _, f in sure])) - want.threshold
+    assert {i for (i, _), w in zip(sure, worth, strict=True) if w > 1e-6} <= kept <= {i for (i, _), w in zip(sure, worth, strict=True) if w > -1e-6}
