@@ -3,6 +3,8 @@ import json
 import random
 from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from rivulet.operators import saved as V
 from rivulet.operators import search as S
 from rivulet.operators.components import components
 from rivulet.operators.resolve import resolve_batch
+from rivulet.plans import catalog_upkeep
 from rivulet.plans.params import CrawlParams, LedgerParams, SearchParams
 from rivulet.plans.store import Store
 from rivulet.schemas import SAVED
@@ -295,3 +298,17 @@ def test_dml(spark):
     reg = spark.createDataFrame([("N", "New", "PAC", "active")], "normalized_name string, name string, type string, status string")
     assert rows(D.apply_registry(ents, reg), "kind", "name", "normalized_name", "is_traversable") == [("committee", "New", "N", True)]
     assert D.run_record(spark, "s", 3, 2, 1, "boom").first()["status"] == "failed"
+
+
+@pytest.mark.parametrize("name", ["resolver_stats", "created_entities"])
+def test_resolution_of_names_of_few_trigrams(spark, tmp_path, monkeypatch, name):
+    """Digests share no rare trigram: the names are compared in tiles, not by a join that outgrows the disk, and SQL agrees."""
+    duckdb = pytest.importorskip("duckdb")
+    pq.write_table(pa.table({"s_suppkey": pa.array(range(60), pa.int64())}), tmp_path / "supplier.parquet")
+    tiled = []
+    monkeypatch.setattr(S, "_alike_in_tiles", lambda *a, f=S._alike_in_tiles: tiled.append(1) or f(*a))
+    got = catalog_upkeep.C.QUERIES[name](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog_upkeep.C.ORACLES[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and tiled
