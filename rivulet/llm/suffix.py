@@ -150,6 +150,7 @@ class Chunk:
         w, weight = np.concatenate([w, w[again]]), np.concatenate([self.weight, self.weight[again]])
         a = (context >> _U(24) << _U(24)) | (w >> _U(40))
         b = ((w >> _U(32) & _U(255)) << _U(24) | longer).astype(np.uint32)
+        del context, longer, w
         order = np.lexsort((b, a))
         a, b, weight = a[order], b[order], weight[order]
         low = (b >> np.uint32(24)).astype(np.uint8)
@@ -340,6 +341,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, doc: str = "doc_id", text:
         for name, ids, texts in _chunks(batches):
             c = Chunk(ids, texts)
             c.contexts(hot)
+            del c.one, c.two, c.index, c.weight, c.hot1, c.hot2, c.pair, c.triple  # what asks doesn't need
             cuts = _cuts(c.pairs, bits, shards)
             part = np.searchsorted(c.triple_pair, cuts)
             fan = np.bincount(c.triple_pair, minlength=len(c.pairs)).astype(np.uint32)
